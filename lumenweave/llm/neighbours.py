@@ -163,8 +163,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float = 0.97, sample: int = 20_000, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows, by largest inner product, of each row whose vec_id divides by `every`.
 
-    Fitted on at most `sample` vectors by hash order; every usable row is indexed. Repeated rows take part each; a row never
-    meets rows of its own vec_id. No usable row: no result.
+    Fitted on at most `sample` vectors by hash order; every usable row is indexed. Rows that repeat a vec_id are candidates each,
+    ask once, and never meet rows of their own vec_id. No usable row: no result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -216,7 +216,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
         n_blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("leaf") + 1)
     filed = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes.sum() // 50_000))
-    asked = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(parts).mapInArrow(ask, f"query_id long, q {kind}, leaf int, block int")
+    asked = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(parts, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(ask, f"query_id long, q {kind}, leaf int, block int")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
