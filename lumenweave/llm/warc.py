@@ -186,7 +186,7 @@ def read(archives: Archives, *, payloads: bool = True) -> DataFrame:
                                 raise ValueError(f"payload of page {name} does not fit its digest")
                         else:
                             n = int(head["X-Payload-Length"])
-                        rows.append((None if name == "null" else int(name), head.get("WARC-Target-URI"), n, digest, head["WARC-Type"], int(to[10:-1]) if to else None, block if shown else None))
+                        rows.append((None if name == "null" else int(name), head.get("WARC-Target-URI"), n, digest, head["WARC-Type"], int(to[10:-1]) if to else None, block if shown and to is None else None))
                         size += len(block)
                         if len(rows) >= 2000 or size >= 4 << 20:
                             yield out(rows)
