@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, ship, table
+from .url_filter import bloom
 from .kernels import SPACED, mix, runs, slices, words
 
 _U = np.uint64
@@ -264,8 +265,12 @@ def _shingle_sets(size: int):
 def _links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Verified pairs (a, b) of document ids; each pair's sets are made from the two whole texts."""
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    if pairs.isEmpty():
+        return pairs
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    # texts that are in no pair are left out by a filter of bounded size before the join shuffles the rest
+    among = bloom(wanted.select(F.col("doc_id").alias("key")), wanted.count(), 77, 10, 4, 1 << 25)
+    texts = docs.where("text is not null").select("doc_id", "text").where(among.says(F.col("doc_id"))).join(wanted, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_shingle_sets(size), "id long, s binary"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))

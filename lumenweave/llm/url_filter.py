@@ -40,8 +40,9 @@ class Level:
         return reduce(lambda a, b: a & b, tests)
 
 
-def _level(keys: DataFrame, n: int, seed: int, bits_per_key: int, hashes: int) -> Level:
-    size = max(64, -(-n * bits_per_key // 64) * 64)
+def bloom(keys: DataFrame, n: int, seed: int, bits_per_key: int, hashes: int, most_bits: int = MOST_BITS) -> Level:
+    """A filter over `keys` (key), n of them, of at most most_bits bits."""
+    size = max(64, -(-min(n * bits_per_key, most_bits) // 64) * 64)
     at = F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(1000 * seed + j)), F.lit(size)) for j in range(hashes)]))
     words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     # words without a bit are zero; the row's size is bounded by MOST_BITS
@@ -70,7 +71,7 @@ def build(listed: DataFrame, universe: DataFrame, *, first_bits: int = 10, bits:
         return Cascade([])
     if n * first_bits > MOST_BITS:
         raise ValueError(f"{n} keys need a filter of over {MOST_BITS} bits; use a join for such a list")
-    levels = [_level(listed, n, seed + 1, first_bits, hashes)]
+    levels = [bloom(listed, n, seed + 1, first_bits, hashes)]
     sides = [listed, cut(universe.where("key is not null").select("key").where(levels[0].says(F.col("key"))).distinct().join(listed, "key", "left_anti"))]
     while len(levels) < most_levels:
         own = sides[len(levels) % 2]
@@ -79,7 +80,7 @@ def build(listed: DataFrame, universe: DataFrame, *, first_bits: int = 10, bits:
             return Cascade(levels)
         if n * bits > MOST_BITS:
             raise ValueError("too many false positives for a filter of bounded size")
-        levels.append(_level(own, n, seed + len(levels) + 1, bits, hashes))
+        levels.append(bloom(own, n, seed + len(levels) + 1, bits, hashes))
         other = (len(levels)) % 2
         sides[other] = cut(sides[other].where(levels[-1].says(F.col("key"))))
     raise ValueError("the cascade did not end")
