@@ -5,7 +5,8 @@ fixed by counts over the whole corpus: shingles that many documents have are cou
 they recur within a task's share of documents, and those with the largest sums (a bounded list)
 come last, by count; all others come before them by fingerprint. Two sets with similarity t share
 one of the first n - ceil(t n) + 1 shingles of each; these prefixes are joined, under the length
-filter and the positional filter, and each surviving pair is verified once, after a suffix filter.
+filter and the positional filter, and each surviving pair is verified once, after filters on the whole sets: bit sketches kept for every
+document, and the suffix filter on counts by range.
 
 The join is dealt by ranges of fingerprints, packed as binary blocks. Shingles of the frequent list
 and buckets over `most_pairs` documents are not paired off: their members are first tied to one
@@ -33,7 +34,7 @@ _U = np.uint64
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
     """(ids of a slice, row in it, sorted distinct shingles) for each text."""
     ids = batch.column(0)
-    for rows, buf, offs in slices(ids, batch.column(1)):
+    for rows, buf, offs in slices(ids, batch.column(1), 1 << 20):
         n = len(offs) - 1
         doc, _, _, h = words(buf, offs, SPACED)
         who, _, fp = runs(doc, h, size, n)
@@ -53,15 +54,23 @@ def _name(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=_U).view(np.int64)), int(mix(s + _U(0x51ED2701)).sum(dtype=_U).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """Parity of the set's shingles by their low bits, at a bit or two for each shingle. Two sets differ in at least as many
+    shingles as their sketches in bits; a sketch's halves combine, bit by bit, to the sketch of half the size."""
+    size = max(512, 1 << int(len(s)).bit_length())
+    odd = (np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def _describe(size: int, flush: int = 1 << 22, least: int = 4):
-    """Pass 1: a row (0, doc_id, n, f1, f2) for each document; a row (1, null, count, shingle, null) for each shingle that recurs here."""
+def _describe(size: int, flush: int = 1 << 21, least: int = 4):
+    """Pass 1: a row (0, doc_id, n, f1, f2) for each document; a row (1, null, count, shingle) for each shingle that recurs here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "f1", "f2"]
+        names = ["kind", "doc_id", "n", "f1", "f2", "bits"]
         held: list[np.ndarray] = []
         total, seen = 0, set()
 
@@ -69,16 +78,17 @@ def _describe(size: int, flush: int = 1 << 22, least: int = 4):
             k, c = np.unique(np.concatenate(held), return_counts=True)
             k, c = k[c >= least], c[c >= least]
             z = pa.nulls(len(k), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), z, pa.array(c.astype(np.int64)), pa.array(_signed(k)), z], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), z, pa.array(c.astype(np.int64)), pa.array(_signed(k)), z, pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
-            ids, ns, f1, f2 = [], [], [], []
+            ids, ns, f1, f2, bits = [], [], [], [], []
             for i, s in _sets(batch, size):
                 a, b = _name(s)
                 ids.append(i)
                 ns.append(len(s))
                 f1.append(a)
                 f2.append(b)
+                bits.append(_sketch(s))
                 if len(s) and (len(s), a) not in seen:
                     seen.add((len(s), a))
                     held.append(s)
@@ -86,17 +96,17 @@ def _describe(size: int, flush: int = 1 << 22, least: int = 4):
                 if total >= flush:
                     yield often()
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=names)
         if held:
             yield often()
 
-    return run, "kind int, doc_id long, n long, f1 long, f2 long"
+    return run, "kind int, doc_id long, n long, f1 long, f2 long, bits array<long>"
 
 
 PACKED = "rng int, docs binary, ns binary, names binary, counts binary, shingles binary, places binary"
 
 
-def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_count: np.ndarray, flush: int = 1 << 21):
+def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_count: np.ndarray, flush: int = 1 << 20):
     """Pass 2: the prefix entries of each distinct set of a task, packed by range of fingerprints; those of frequent shingles in the negative ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +272,18 @@ def _shingle_sets(size: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Verified pairs (a, b) of document ids; each pair's sets are made from the two whole texts."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+def _links(docs: DataFrame, about: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Verified pairs (a, b) of document ids: sketches first rule out most, then each pair's sets are made from the two whole texts."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(about.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    x, y = F.col("bitsa"), F.col("bitsb")
+    both = F.when(F.size(x) == F.size(y), F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))).when(F.size(x) == 2 * F.size(y), F.zip_with(half(x), y, lambda u, v: u.bitwiseXOR(v)))
+    both = both.when(F.size(y) == 2 * F.size(x), F.zip_with(x, half(y), lambda u, v: u.bitwiseXOR(v))).otherwise(F.array().cast("array<long>"))
+    apart = F.aggregate(both, F.lit(0), lambda s, v: s + F.bit_count(v))
+    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    pairs = cut(pairs.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b").distinct())
     if pairs.isEmpty():
         return pairs
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
@@ -276,7 +295,7 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))
 
 
-def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_least: int = 64, hot_most: int = 200_000, most_pairs: int = 48, range_mb: int = 24) -> DataFrame:
+def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_least: int = 64, hot_most: int = 200_000, most_pairs: int = 48, range_mb: int = 10) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Documents are linked when their sets' similarity is num / den or more; component_id is the least
@@ -289,7 +308,7 @@ def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_leas
     docs = docs.select("doc_id", "text")
     run, schema = _describe(size)
     seen = cut(docs.mapInArrow(run, schema))
-    about = seen.where("kind = 0").select("doc_id", "n", "f1", "f2")
+    about, sketches = seen.where("kind = 0").select("doc_id", "n", "f1", "f2"), seen.where("kind = 0").select("doc_id", "n", "bits")
     common = seen.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("c")).where(F.col("c") >= hot_least).orderBy(F.desc("c"), "f1").limit(hot_most).toArrow()
     hot, hot_count = common["f1"].to_numpy().view(_U), common["c"].to_numpy()
     order = np.argsort(hot)
@@ -315,7 +334,7 @@ def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_leas
     to_rep = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     small = (found.where("kind = 0").select("a", "b").distinct().join(to_rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
              .join(to_rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    links = _links(docs, small.union(star), size, num, den)
+    links = _links(docs, sketches, small.union(star), size, num, den)
     comp = cut(components(links.union(same)))
 
     # pairs across components in the large buckets: each member against those outside the bucket's largest component
@@ -331,7 +350,7 @@ def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_leas
         & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
         & (s * (1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)) >= num * (F.col("x.n") + F.col("y.n"))),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = _links(docs, rest, size, num, den)
+    more = _links(docs, sketches, rest, size, num, den)
     if more.isEmpty():
         last = comp
     else:
