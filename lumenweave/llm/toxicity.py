@@ -151,54 +151,59 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
     """
     model = Field()
     toxic = np.asarray(toxic, bool)
-    parts, at = [], 0
+    column = pa.array(texts, pa.large_string())
     seen: set[int] = set()
-    for rows, buf, offs in slices([], pa.array(texts, pa.large_string())):
-        n_docs = len(offs) - 1
-        doc, s, e, h = words(buf, offs, ALNUM)
-        who, _, fp = runs(doc, h, 5, n_docs)
-        keep = np.zeros(n_docs, bool)
-        bounds = np.searchsorted(who, np.arange(n_docs + 1))
-        for d in range(n_docs):
-            low = [int(fp[bounds[d] : bounds[d + 1]][(fp[bounds[d] : bounds[d + 1]] & np.uint64(3)) == k].min(initial=(1 << 64) - 1)) for k in range(4)]
-            low = [x for x in low if x != (1 << 64) - 1]
-            keep[d] = bool(low) and sum(x in seen for x in low) < 2
+    keep = np.zeros(len(texts), bool)
+    for rows, buf, offs in slices([], column, 1 << 19):
+        doc, _, _, h = words(buf, offs, ALNUM)
+        who, _, fp = runs(doc, h, 5, len(offs) - 1)
+        bounds = np.searchsorted(who, np.arange(len(offs)))
+        for d in range(len(offs) - 1):
+            own = fp[bounds[d] : bounds[d + 1]]
+            low = [int(x.min()) for k in range(4) if len(x := own[(own & np.uint64(3)) == k])]
+            keep[rows.start + d] = bool(low) and sum(x in seen for x in low) < 2
             seen.update(low)
-        ok = keep[doc]
-        new = np.cumsum(keep) - 1
-        parts.append((new[doc[ok]] + at, toxic[rows][keep], [(np.cumsum(ok)[a[ok[a]]] - 1, f[ok[a]]) for a, f in features(buf, s, e, h)], int(ok.sum())))
-        at += int(keep.sum())
-    if not parts:
-        return model
-    label = np.concatenate([p[1] for p in parts])
-    if label.all() or not label.any():
+    column, label = column.filter(pa.array(keep)), toxic[keep]
+    n_docs = len(label)
+    if n_docs == 0 or label.all() or not label.any():
         return model
-    doc = np.concatenate([p[0] for p in parts])
-    base = np.concatenate([[0], np.cumsum([p[3] for p in parts])])
-    tok = np.concatenate([a + b for p, b in zip(parts, base, strict=False) for a, _ in p[2]])
-    fps = np.concatenate([f for p in parts for _, f in p[2]])
-    del parts
     # the field learns from two thirds of the documents, calibration from the rest
-    held = mix(np.arange(at, dtype=np.uint64)) % np.uint64(3) == 0
-    learn = ~held[doc[tok]]
-    # features: documents of either kind that have them, and their words
-    keys, inv = np.unique(fps, return_inverse=True)
-    is_tox = label[doc[tok]]
-    pairs = np.unique(inv[learn & is_tox].astype(np.int64) * at + doc[tok][learn & is_tox])
-    in_docs = np.bincount(pairs // at, minlength=len(keys))
-    ct = np.bincount(inv[learn & is_tox], minlength=len(keys))
-    cc = np.bincount(inv[learn & ~is_tox], minlength=len(keys))
-    wt, wc = max(1, (label & ~held)[doc].sum()), max(1, (~label & ~held)[doc].sum())
+    held = mix(np.arange(n_docs, dtype=np.uint64)) % np.uint64(3) == 0
+    # first reading: words of either kind, and toxic documents, for each feature
+    counts, wt, wc = [], 1, 1
+    for rows, buf, offs in slices([], column, 1 << 19):
+        doc, s, e, h = words(buf, offs, ALNUM)
+        got = list(features(buf, s, e, h))
+        tok, fps = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        use = ~held[rows.start + doc[tok]]
+        tok, fps = doc[tok[use]], fps[use]
+        bad = label[rows.start + tok]
+        keys, inv = np.unique(fps, return_inverse=True)
+        pairs = np.unique(inv[bad] * len(offs) + tok[bad]) // len(offs)
+        counts.append((keys, *(np.bincount(x, minlength=len(keys)).astype(np.int32) for x in (inv[bad], inv[~bad], pairs))))
+        wt += int((label & ~held)[rows.start + doc].sum())
+        wc += int((~label & ~held)[rows.start + doc].sum())
+    keys, inv = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    ct, cc, in_docs = (np.bincount(inv, weights=np.concatenate([c[k] for c in counts]), minlength=len(keys)) for k in (1, 2, 3))
+    del counts, inv
     ratio = np.log((ct + 0.5) / wt) - np.log((cc + 0.5) / wc)
     strong = np.flatnonzero((in_docs >= least_docs) & (ratio >= np.log(lift)))
     strong = strong[np.argsort(-in_docs[strong] * ratio[strong], kind="stable")][:max_features]
     strong.sort()
     if len(strong) == 0:
         return model
-    number = np.full(len(keys), -1)
-    number[strong] = np.arange(len(strong))
-    use = number[inv] >= 0
-    tok, feat = tok[use], number[inv[use]]
+    # second reading: where the chosen features stand
+    chosen, tok, feat, doc_of, at = keys[strong], [], [], [], 0
+    for rows, buf, offs in slices([], column, 1 << 19):
+        doc, s, e, h = words(buf, offs, ALNUM)
+        for w, f in features(buf, s, e, h):
+            pos = np.minimum(np.searchsorted(chosen, f), len(chosen) - 1)
+            hit = np.flatnonzero(chosen[pos] == f)
+            tok.append(w[hit] + at)
+            feat.append(pos[hit])
+        doc_of.append(doc + rows.start)
+        at += len(doc)
+    doc, tok, feat = np.concatenate(doc_of), np.concatenate(tok), np.concatenate(feat)
     y = np.zeros(len(doc), bool)
     y[tok] = True
     y &= label[doc]
@@ -237,7 +242,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
     np.add.at(e, tok, model.weights[feat])
     p, _, _ = forward_backward(e, begins, model.trans, model.start)
     # calibration: logistic regression, with the sample weighted back to the labels' prior
-    xs, ys = _aggregate(p, doc, at)[held], label[held].astype(float)
+    xs, ys = _aggregate(p, doc, n_docs)[held], label[held].astype(float)
     wt = np.where(ys > 0, prior / max(ys.mean(), 1e-9), (1 - prior) / max(1 - ys.mean(), 1e-9))
     c = np.zeros(xs.shape[1])
     for _ in range(50):
@@ -269,7 +274,7 @@ def spans_of(p: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray,
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 1500, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000) -> Field:
     """Fits on a bounded sample of labelled documents outside the held-out fold: at most max_toxic and max_clean of them, by hash order."""
     lab = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held).select("doc_id", "toxic").distinct()
     prior = lab.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
