@@ -5,7 +5,8 @@ of many rows (copies of one vector, say) are split into blocks of bounded size.
 tree best bin first: a priority queue holds nodes by inner product with their centre, and leaves
 are visited until as many have been seen as calibration found necessary for the wanted recall on
 sample queries, and until they hold enough rows. Each block scores its queries as one matrix
-product in double precision; blocks keep k a query, and these are merged by rank.
+product in double precision and keeps at most k rows a query, none below the query's 3k-th best score in the
+sample; these are merged by rank. A query that is left with fewer than k rows is asked again without that floor.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return near
 
 
-def grow(x: np.ndarray, *, branch: int = 12, leaf_rows: int = 40, seed: int = 1) -> Tree:
+def grow(x: np.ndarray, *, branch: int = 12, leaf_rows: int = 150, seed: int = 1) -> Tree:
     """The tree of a sample. Nodes of at most leaf_rows rows, or whose rows are all alike, are leaves."""
     rng = np.random.default_rng(seed)
     centres, children, leaf, at = [x.mean(0)], [None], [-1], 0
@@ -126,12 +127,22 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, n_queries: int =
     return int(np.searchsorted(np.cumsum(need), recall * total)) if total else tree.leaves
 
 
-def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best rows but its own; ties go to the smaller id."""
+def floor_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> np.ndarray:
+    """Score of each query's k-th best row in a sample, less a little: rows below it are in no answer. -inf where the sample has fewer."""
+    s = q @ x.T
+    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    if s.shape[1] < k:
+        return np.full(len(q), -np.inf)
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return least - 1e-9 * (1 + np.abs(least))
+
+
+def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of each query's k best rows but its own, of those at its floor or above; ties go to the smaller id."""
     rough = q @ x.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     at = min(k, rough.shape[1]) - 1
-    least = -np.partition(-rough, at, axis=1)[:, at]
+    least = np.maximum(-np.partition(-rough, at, axis=1)[:, at], np.where(np.isfinite(floor), floor, -1e300))
     who, what, score = [], [], []
     for j in range(len(q)):
         # the product may round alike rows apart; what is near the limit is scored again, row by row
@@ -160,7 +171,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("embedding") == (dim["d"] if dim else 0))
 
 
-def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float = 0.97, sample: int = 20_000, block_rows: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows, by largest inner product, of each row whose vec_id divides by `every`.
 
     Fitted on at most `sample` vectors by hash order; every usable row is indexed. Rows that repeat a vec_id are candidates each,
@@ -169,7 +180,8 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
     spark = vectors.sparkSession
     ship(spark)
     v = usable(vectors)
-    x = _matrix(v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["embedding"])
+    taken = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    x, x_ids = _matrix(taken["embedding"]), taken["vec_id"].to_numpy()
     schema = "query_id long, rank int, vec_id long, score double"
     if len(x) == 0:
         return spark.createDataFrame([], schema)
@@ -189,13 +201,16 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
         sizes[r["leaf"]] = r["count"]
     tree.sizes = sizes
     model = spark.sparkContext.broadcast(tree)
+    drawn = spark.sparkContext.broadcast((x.astype(np.float32) if kind == "array<float>" else x, x_ids))  # at most `sample` rows
     blocks = -(-sizes // block_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = model.value
         many = np.maximum(1, -(-t.sizes // block_rows))
         for b in batches:
-            q = _matrix(b.column(1))
+            q, q_ids = _matrix(b.column(1)), b.column(0).to_numpy()
+            xs = drawn.value[0].astype(np.float64)
+            floor = np.concatenate([floor_of(xs, drawn.value[1], q[a : a + 64], q_ids[a : a + 64], 3 * k) for a in range(0, len(q), 64)]) if len(q) else q_ids
             at, leaf, block = [], [], []
             for j in range(b.num_rows):
                 for l in best_bins(t, q[j], t.visits, k + 1):
@@ -206,7 +221,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
                         block += range(n)
                 if len(at) > 20_000 or j == b.num_rows - 1:
                     i = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "q", "leaf", "block"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(floor[at]), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "q", "floor", "leaf", "block"])
                     at, leaf, block = [], [], []
 
     n_blocks = F.lit(1)
@@ -216,20 +231,31 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
         n_blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("leaf") + 1)
     filed = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes.sum() // 50_000))
-    asked = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(parts, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(ask, f"query_id long, q {kind}, leaf int, block int")
+    queries = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(parts, "vec_id").dropDuplicates(["vec_id"])
+    asked = queries.mapInArrow(ask, f"query_id long, q {kind}, floor double, leaf int, block int")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, x = left["vec_id"].to_numpy(), _matrix(left["embedding"])
-        q_ids, q = right["query_id"].to_numpy(), _matrix(right["q"])
-        got = [top(x, ids, q[a : a + 256], q_ids[a : a + 256], k) for a in range(0, len(q), 256)]
+        q_ids, q, floor = right["query_id"].to_numpy(), _matrix(right["q"]), right["floor"].to_numpy()
+        got = [top(x, ids, q[a : a + 256], q_ids[a : a + 256], k, floor[a : a + 256]) for a in range(0, len(q), 256)]
         who = np.concatenate([g[0] + a for g, a in zip(got, range(0, len(q), 256), strict=True)])
         return pa.table({"query_id": q_ids[who], "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
 
-    met = filed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def answer(asked: DataFrame) -> DataFrame:
+        met = filed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = cut(answer(asked))
+    # queries of which the visited leaves hold fewer than k rows above the floor are asked again without one
+    short = cut(queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    again = answer(short.repartition(parts, "vec_id").mapInArrow(ask, asked.schema).withColumn("floor", F.lit(float("-inf"))))
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*found.columns).union(again)
 
 
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
