@@ -49,14 +49,14 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return near
 
 
-def grow(x: np.ndarray, *, branch: int = 12, leaf_rows: int = 150, seed: int = 1) -> Tree:
+def grow(x: np.ndarray, *, branch: int = 12, leaf_rows: int = 200, seed: int = 1) -> Tree:
     """The tree of a sample. Nodes of at most leaf_rows rows, or whose rows are all alike, are leaves."""
     rng = np.random.default_rng(seed)
     centres, children, leaf, at = [x.mean(0)], [None], [-1], 0
     todo = [(0, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
-        near = _kmeans(x[rows], min(branch, len(rows)), rng) if len(rows) > leaf_rows else np.zeros(len(rows), np.int64)
+        near = _kmeans(x[rows], max(2, min(branch, -(-len(rows) // leaf_rows))), rng) if len(rows) > leaf_rows else np.zeros(len(rows), np.int64)
         kinds = np.unique(near)
         if len(kinds) < 2:
             leaf[node] = at
