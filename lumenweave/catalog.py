@@ -5,23 +5,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from lumenweave.functions import scalars
+from lumenweave.operators import frames, transforms
+from lumenweave.plans import frames_sql as S
+from lumenweave.plans.reports import PLANS
+from lumenweave.sources import patterns
 
-GROUP_SUMMARY = """
-WITH g AS (
-  SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean,
-    CAST({percentile}(0.95) WITHIN GROUP (ORDER BY l_quantity) AS DOUBLE) AS p95, max(l_quantity) AS most
-  FROM lineitem GROUP BY l_returnflag, l_linestatus)
-SELECT *, round(total / sum(total) OVER (), 6) AS share FROM g
-"""
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()}
+SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()}
+
+
+def _frames(name: str, build: Callable[[SparkSession], DataFrame], sql: str) -> None:
+    """A query over generated frames; it reads no table."""
+    QUERIES[name] = lambda spark, _dir: build(spark)
+    SQL[name] = sql
+
+
+def _p(spark: SparkSession, kind: str) -> DataFrame:
+    return patterns.pattern(spark, kind, S.W, S.H, S.N)
 
 
-def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return spark.sql(GROUP_SUMMARY.format(percentile="percentile_disc"))
+def _off(s: DataFrame) -> DataFrame:
+    return s.withColumns({"v0": F.when((F.col("x") + F.col("y")) % 3 == 0, F.least(F.col("v0") + 2, F.lit(255))).otherwise(F.col("v0")), "v2": F.when(F.col("x") % 5 == 0, 255 - F.col("v2")).otherwise(F.col("v2"))})
 
 
-QUERIES["group_summary"] = group_summary
-SQL["group_summary"] = GROUP_SUMMARY.format(percentile="percentile_disc")
+for _kind in ("black", "checker", "gradient", "color_blocks"):
+    _frames(f"pattern_{_kind}", lambda spark, k=_kind: _p(spark, k), f"SELECT * FROM {S.pattern(_kind)} p")
+_G, _C = S.pattern("gradient"), S.pattern("checker")
+_frames("pattern_420_chroma", lambda s: patterns.chroma_420(_p(s, "gradient")), f"SELECT frame, cy AS y, cx AS x, CAST(sum(v1) // 4 AS BIGINT) AS u, CAST(sum(v2) // 4 AS BIGINT) AS v FROM (SELECT frame, y // 2 AS cy, x // 2 AS cx, v1, v2 FROM {_G} p) GROUP BY frame, cy, cx")
+_frames("pattern_422_chroma", lambda s: patterns.chroma_422(_p(s, "gradient")), f"SELECT frame, y, cx AS x, CAST(sum(v1) // 2 AS BIGINT) AS u, CAST(sum(v2) // 2 AS BIGINT) AS v FROM (SELECT frame, y, x // 2 AS cx, v1, v2 FROM {_G} p) GROUP BY frame, y, cx")
+for _depth in (10, 12):
+    _frames(f"canary_{_depth}bit", lambda s, d=_depth: patterns.canary(s, d, S.W, S.H, S.N), f"SELECT * FROM {S.canary(_depth)} p")
+_frames("crop", lambda s: frames.crop(_p(s, "gradient"), 8, 4, 16, 12), f"SELECT frame, y - 4 AS y, x - 8 AS x, v0, v1, v2 FROM {_G} p WHERE x BETWEEN 8 AND 23 AND y BETWEEN 4 AND 15")
+_frames("scale_nearest", lambda s: frames.scale(_p(s, "gradient"), (S.W, S.H), (20, 10)).select("frame", "y", "x", "v0", "v1", "v2"),
+        f"SELECT p.frame, g.y, g.x, v0, v1, v2 FROM {S.grid(20, 10, S.N)} g JOIN {_G} p ON p.frame = g.frame AND p.y = g.y * {S.H} // 10 AND p.x = g.x * {S.W} // 20")
+_frames("depth_8_to_10", lambda s: _p(s, "gradient").select("frame", "y", "x", *[scalars.convert_depth(F.col(f"v{k}"), 8, 10).alias(f"v{k}") for k in range(3)]),
+        f"SELECT frame, y, x, " + ", ".join(f"(least(v{k}, 255) * 1023 + 127) // 255 AS v{k}" for k in range(3)) + f" FROM {_G} p")
+_frames("depth_round_trip", lambda s: s.range(256).select(F.col("id").alias("v"), scalars.convert_depth(scalars.convert_depth(F.col("id"), 8, 10), 10, 8).alias("back")), "SELECT range AS v, range AS back FROM range(256)")
+_frames("rgb_to_gbr_planes", lambda s: _p(s, "color_blocks").select("frame", "y", "x", F.posexplode(F.array("v1", "v2", "v0"))).select("frame", F.col("pos").cast("long").alias("plane"), "y", "x", F.col("col").alias("v")),
+        f"SELECT frame, CAST(k AS BIGINT) AS plane, y, x, CASE k WHEN 0 THEN v1 WHEN 1 THEN v2 ELSE v0 END AS v FROM {S.pattern('color_blocks')} p, range(3) r(k)")
+_frames("sse", lambda s: frames.sse(_p(s, "gradient"), _off(_p(s, "gradient"))), f"SELECT * FROM {S.sse(_G, S.disturbed(_G))} q")
+_frames("psnr", lambda s: frames.psnr(frames.sse(_p(s, "gradient"), _off(_p(s, "gradient")))).select("frame", *[F.round(c, 6).alias(c) for c in ("psnr0", "psnr1", "psnr2", "psnr_all")]), S.psnr(S.sse(_G, S.disturbed(_G))))
+_frames("sad", lambda s: frames.sad(_p(s, "gradient"), _off(_p(s, "gradient"))), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, CAST(sum(abs(v0 - w)) AS BIGINT) AS sad FROM (SELECT p.frame, p.y, p.x, p.v0, q.v0 AS w FROM {_G} p JOIN {S.disturbed(_G)} q USING (frame, y, x)) GROUP BY frame, 2, 3")
+_frames("block_histogram", lambda s: frames.histogram(_p(s, "gradient")), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, v0, count(*) AS n, min((y % 8) * 8 + x % 8) AS first FROM {_G} p GROUP BY frame, 2, 3, v0")
+_frames("palette_worthy", lambda s: frames.palette_worthy(_p(s, "checker")), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, count(DISTINCT v0) AS colours, count(DISTINCT v0) BETWEEN 2 AND 4 AS worthy FROM {_C} p GROUP BY frame, 2, 3")
+_frames("block_mean_sse", lambda s: frames.mean_sse(_p(s, "gradient"), 8), f"SELECT frame, gy, gx, CAST(mean AS BIGINT) AS mean, sse FROM {S.block_sse(_G, 8)} b")
+_frames("split_gain", lambda s: frames.split_gain(_p(s, "gradient"), 16), f"SELECT b.frame, b.gy, b.gx, CAST(greatest(0, b.sse - k.kids) AS BIGINT) AS gain FROM {S.block_sse(_G, 16)} b JOIN (SELECT frame, gy // 2 AS gy, gx // 2 AS gx, sum(sse) AS kids FROM {S.block_sse(_G, 8)} c GROUP BY frame, gy // 2, gx // 2) k USING (frame, gy, gx)")
+_frames("repeated_frames", lambda s: frames.repeated_frames(_p(s, "black").unionByName(_p(s, "checker").withColumn("frame", F.col("frame") + S.N))),
+        f"SELECT range AS frame, range BETWEEN 1 AND {S.N - 1} AS same FROM range({2 * S.N})")
+_frames("motion_match", lambda s: frames.motion(_p(s, "color_blocks")), f"""
+WITH b AS (SELECT frame, y // 8 AS gy, x // 8 AS gx, string_agg(v0 || ',' || v1 || ',' || v2, ';' ORDER BY y, x) AS d FROM {S.pattern("color_blocks")} p GROUP BY frame, 2, 3),
+r AS (SELECT frame, d FROM b GROUP BY frame, d HAVING count(*) <= 8)
+SELECT frame, gy, gx, fy AS from_gy, fx AS from_gx FROM (SELECT c.frame, c.gy, c.gx, o.gy AS fy, o.gx AS fx, row_number() OVER (PARTITION BY c.frame, c.gy, c.gx ORDER BY abs(c.gy - o.gy) + abs(c.gx - o.gx), o.gy, o.gx) AS k
+  FROM b c JOIN b o ON o.frame = c.frame - 1 AND o.d = c.d JOIN r ON r.frame = o.frame AND r.d = o.d) WHERE k = 1""")
+_frames("bdpcm_delta", lambda s: frames.deltas(_p(s, "gradient"), 8), f"SELECT frame, y, x, v0 - coalesce(lag(v0) OVER (PARTITION BY frame, y, x // 8 ORDER BY x), 128) AS d FROM {_G} p")
+_frames("ctu_grid", lambda s: frames.cells(s, 200, 136, 64), "SELECT i AS address, (i % 4) * 64 AS x, (i // 4) * 64 AS y, least(64, 200 - (i % 4) * 64) AS w, least(64, 136 - (i // 4) * 64) AS h FROM (SELECT range AS i FROM range(12))")
+_frames("wht_4x4", lambda s: transforms.block_coefficients(_p(s, "gradient")).select("frame", "gy", "gx", *[F.col("c")[k].alias(f"c{k}") for k in range(16)], "exact"), S.wht(_G))
+_frames("frame_bytes", lambda s: s.range(1, 40).select(F.explode(F.array(*[F.lit(x) for x in ("400", "420", "422", "444", "rgb")])).alias("sampling"), (F.col("id") * 2).alias("w"), (F.col("id") * 4).alias("h"), (8 + F.col("id") % 5).alias("depth"))
+        .withColumn("bytes", scalars.frame_bytes(F.col("w"), F.col("h"), F.col("sampling"), F.col("depth"))),
+        "SELECT s AS sampling, range * 2 AS w, range * 4 AS h, 8 + range % 5 AS depth, (range * 8 * range + 2 * CASE s WHEN '420' THEN range * 8 * range // 4 WHEN '422' THEN range * 8 * range // 2 WHEN '400' THEN 0 ELSE range * 8 * range END) * CASE WHEN range % 5 > 0 THEN 2 ELSE 1 END AS bytes FROM range(1, 40), (VALUES ('400'), ('420'), ('422'), ('444'), ('rgb')) t(s)")
+_frames("exp_golomb", lambda s: s.range(300).select(F.col("id").alias("v"), scalars.exp_golomb(F.col("id")).alias("ue")), "SELECT range AS v, repeat('0', length(bin(range + 1)) - 1) || bin(range + 1) AS ue FROM range(300)")
+_frames("leb128", lambda s: s.range(0, 40000, 37).select(F.col("id").alias("v"), scalars.leb128(F.col("id")).alias("hex")),
+        "SELECT range AS v, CASE WHEN range < 128 THEN printf('%02X', range) WHEN range < 16384 THEN printf('%02X%02X', range % 128 + 128, range // 128) ELSE printf('%02X%02X%02X', range % 128 + 128, (range // 128) % 128 + 128, range // 16384) END AS hex FROM range(0, 40000, 37)")
+
+
+def tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and status of each (status, priority) against the mean of its status."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    g = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("price"))
+    t = o.groupBy("o_orderstatus").agg(F.count("*").alias("tn"), F.round(F.avg("o_totalprice"), 4).alias("tprice"))
+    j = g.join(F.broadcast(t), "o_orderstatus").select("o_orderstatus", "o_orderpriority", (F.col("n") * 5 / F.col("tn")).alias("fps"), (F.col("price") / F.col("tprice")).alias("size"), (F.col("n") % 7 / 10 - 0.3).alias("dpsnr"))
+    score = scalars.tradeoff_score(F.col("fps"), F.col("size"), F.col("dpsnr"))
+    return j.select("o_orderstatus", "o_orderpriority", F.round(score, 5).alias("score"), scalars.tradeoff_status(score, F.col("fps"), F.col("size"), F.col("dpsnr")).alias("status"))
+
+
+QUERIES["tradeoff"] = tradeoff
+SQL["tradeoff"] = """
+WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1, 2), t AS (SELECT o_orderstatus, count(*) AS tn, round(avg(o_totalprice), 4) AS tprice FROM orders GROUP BY 1),
+j AS (SELECT o_orderstatus, o_orderpriority, n * 5.0::DOUBLE / tn AS fps, price / tprice AS size, n % 7 / 10.0::DOUBLE - 0.3::DOUBLE AS dpsnr FROM g JOIN t USING (o_orderstatus)),
+s AS (SELECT *, 10 * log2(fps) + 4 * log2(1 / size) + 8 * dpsnr AS score FROM j)
+SELECT o_orderstatus, o_orderpriority, round(score, 5) AS score, CASE WHEN fps < 0.90 OR size > 1.20 OR dpsnr < -1.0 THEN 'regress' WHEN score >= 2 AND fps >= 1.10 THEN CASE WHEN dpsnr < -0.30 OR size > 1.05 THEN 'watch' ELSE 'accept' END WHEN score >= 0 THEN 'watch' ELSE 'regress' END AS status FROM s
+"""
