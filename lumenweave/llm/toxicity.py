@@ -86,9 +86,9 @@ def _scan(num: np.ndarray) -> np.ndarray:
     width = max(1, int(np.sqrt(n)))
     length = -(-n // width)
     pad = np.zeros((width * length, 4))
-    pad[:, 0] = pad[:, 3] = 1.0
+    pad[n:, 0] = pad[n:, 3] = 1.0
     pad[:n] = num
-    m = pad.reshape(width, length, 4).transpose(1, 2, 0).copy()
+    m = pad.reshape(width, length, 4).transpose(1, 2, 0)
     a, b, c, d = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
     for t in range(length):
         p, q, r, s = m[t]
@@ -144,7 +144,12 @@ def _aggregate(p: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.stack([np.ones(n_docs), np.log1p(e), np.minimum(100 * e / np.maximum(n, 1), 10), np.log1p(n), np.minimum(e, 3)], 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int = 50_000, least_docs: int = 4, lift: float = 6.0, steps: int = 30) -> Field:
+def _merge(counts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    keys, inv = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    return (keys, *(np.bincount(inv, weights=np.concatenate([c[k] for c in counts]), minlength=len(keys)).astype(np.int32) for k in (1, 2, 3)))
+
+
+def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int = 50_000, least_docs: int = 4, lift: float = 6.0, steps: int = 20) -> Field:
     """Fits the field on labelled texts held in memory. Near copies of a text count once.
 
     No toxic or no clean text: a field that scores everything alike.
@@ -169,30 +174,44 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
         return model
     # the field learns from two thirds of the documents, calibration from the rest
     held = mix(np.arange(n_docs, dtype=np.uint64)) % np.uint64(3) == 0
-    # first reading: words of either kind, and toxic documents, for each feature
+    # first reading, into a fixed table by hash: in how many toxic documents each slot's features are; a slot never shows too few
+    slots = np.zeros(1 << _FILTER_BITS, np.uint16)
+    low = np.uint64((1 << _FILTER_BITS) - 1)
+    for rows, buf, offs in slices([], column, 1 << 18):
+        doc, s, e, h = words(buf, offs, ALNUM)
+        use = (label & ~held)[rows.start : rows.stop]
+        for at, f in features(buf, s, e, h):
+            ok = use[doc[at]]
+            pairs = np.unique((f[ok] & low).astype(np.int64) * len(offs) + doc[at[ok]])
+            np.add.at(slots, pairs // len(offs), 1)
+    promising = slots >= least_docs
+    # second reading: exact counts of the features in slots that may be common enough
     counts, wt, wc = [], 1, 1
-    for rows, buf, offs in slices([], column, 1 << 19):
+    for rows, buf, offs in slices([], column, 1 << 18):
         doc, s, e, h = words(buf, offs, ALNUM)
-        got = list(features(buf, s, e, h))
-        tok, fps = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        use = ~held[rows.start + doc[tok]]
-        tok, fps = doc[tok[use]], fps[use]
+        tok, fps = [], []
+        for at, f in features(buf, s, e, h):
+            ok = promising[(f & low).astype(np.int64)] & ~held[rows.start + doc[at]]
+            tok.append(doc[at[ok]])
+            fps.append(f[ok])
+        tok, fps = np.concatenate(tok), np.concatenate(fps)
         bad = label[rows.start + tok]
         keys, inv = np.unique(fps, return_inverse=True)
         pairs = np.unique(inv[bad] * len(offs) + tok[bad]) // len(offs)
         counts.append((keys, *(np.bincount(x, minlength=len(keys)).astype(np.int32) for x in (inv[bad], inv[~bad], pairs))))
         wt += int((label & ~held)[rows.start + doc].sum())
         wc += int((~label & ~held)[rows.start + doc].sum())
-    keys, inv = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-    ct, cc, in_docs = (np.bincount(inv, weights=np.concatenate([c[k] for c in counts]), minlength=len(keys)) for k in (1, 2, 3))
-    del counts, inv
+        if len(counts) == 16:
+            counts = [_merge(counts)]
+    keys, ct, cc, in_docs = _merge(counts)
+    del counts, slots, promising
     ratio = np.log((ct + 0.5) / wt) - np.log((cc + 0.5) / wc)
     strong = np.flatnonzero((in_docs >= least_docs) & (ratio >= np.log(lift)))
     strong = strong[np.argsort(-in_docs[strong] * ratio[strong], kind="stable")][:max_features]
     strong.sort()
     if len(strong) == 0:
         return model
-    # second reading: where the chosen features stand
+    # third reading: where the chosen features stand
     chosen, tok, feat, doc_of, at = keys[strong], [], [], [], 0
     for rows, buf, offs in slices([], column, 1 << 19):
         doc, s, e, h = words(buf, offs, ALNUM)
@@ -201,46 +220,59 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
             hit = np.flatnonzero(chosen[pos] == f)
             tok.append(w[hit] + at)
             feat.append(pos[hit])
-        doc_of.append(doc + rows.start)
+        doc_of.append((doc + rows.start).astype(np.int32))
         at += len(doc)
     doc, tok, feat = np.concatenate(doc_of), np.concatenate(tok), np.concatenate(feat)
     y = np.zeros(len(doc), bool)
     y[tok] = True
     y &= label[doc]
-    model.keys, model.weights = keys[strong], np.zeros(len(strong))
+    model.keys = chosen
+    k = len(chosen)
     begins = _begins(doc)
     train = ~held[doc]
-    yy, after = y & train, np.flatnonzero(~begins & train)
-    pair = np.zeros((2, 2))
-    np.add.at(pair, (y[after - 1].astype(int), y[after].astype(int)), 1)
-    fcount = np.bincount(feat, weights=yy[tok].astype(float), minlength=len(strong))
-    n_train, first = float(train.sum()), begins & train
-    share = (yy.sum() + 1.0) / (n_train + 2.0)
-    model.bias = float(np.log(share / (1 - share))) - 1.0
-    model.weights = np.full(len(strong), 2.0)
-    theta = np.concatenate([model.weights, [model.bias, 0.0, 0.0, 0.0, 0.0, 0.0]])
+    order = np.argsort(tok, kind="stable")
+    tok, feat = tok[order], feat[order]
+    # documents are worked through in runs of some 100,000 words, so that memory does not follow the sample
+    firsts = np.flatnonzero(begins)
+    edges = np.unique(np.append(firsts[np.searchsorted(firsts, np.arange(0, len(doc), 100_000))[np.searchsorted(firsts, np.arange(0, len(doc), 100_000)) < len(firsts)]], len(doc)))
+    parts = list(zip(edges[:-1], edges[1:], np.searchsorted(tok, edges[:-1]), np.searchsorted(tok, edges[1:]), strict=True))
+
+    def unpack(theta):
+        return theta[:k], theta[k], theta[k + 1 : k + 5].reshape(2, 2), theta[-1]
+
+    def marginals(theta, part):
+        lo, hi, i, j = part
+        w, bias, tr, start = unpack(theta)
+        e = np.full(hi - lo, bias)
+        np.add.at(e, tok[i:j] - lo, w[feat[i:j]])
+        return e, *forward_backward(e, begins[lo:hi], tr, start)
+
+    share = (float((y & train).sum()) + 1.0) / (float(train.sum()) + 2.0)
+    theta = np.concatenate([np.full(k, 2.0), [np.log(share / (1 - share)) - 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, bias, tr, start = theta[: len(strong)], theta[len(strong)], theta[len(strong) + 1 : len(strong) + 5].reshape(2, 2), theta[-1]
-        e = np.full(len(doc), bias)
-        np.add.at(e, tok, w[feat])
-        p, x, bk = forward_backward(e, begins, tr, start)
-        t, o = np.exp(tr), np.exp(np.clip(e, -30, 30))
-        q = np.stack([np.full(len(after), t[0, 0]), t[0, 1] * o[after] * bk[after], x[after - 1] * t[1, 0], x[after - 1] * t[1, 1] * o[after] * bk[after]])
-        q /= q.sum(0)
-        pt = np.where(train, p, 0.0)
-        grad = np.concatenate([
-            fcount - np.bincount(feat, weights=pt[tok], minlength=len(strong)) - 0.5 * w,
-            [float(yy.sum()) - pt.sum()],
-            (pair.reshape(-1) - q.sum(1)) - 0.5 * tr.reshape(-1),
-            [float(y[first].sum()) - p[first].sum() - 0.5 * start],
-        ])
+        w, _, tr, start = unpack(theta)
+        grad = np.concatenate([-0.5 * w, [0.0], -0.5 * tr.reshape(-1), [-0.5 * start]])
+        t = np.exp(tr)
+        for part in parts:
+            lo, hi, i, j = part
+            own, yy, first = train[lo:hi], y[lo:hi], begins[lo:hi]
+            if not own.any():
+                continue
+            e, p, x, bk = marginals(theta, part)
+            over = np.where(own, yy - p, 0.0)
+            grad[:k] += np.bincount(feat[i:j], weights=over[tok[i:j] - lo], minlength=k)
+            grad[k] += over.sum()
+            after = np.flatnonzero(~first & own)
+            o = np.exp(np.clip(e[after], -30, 30)) * bk[after]
+            q = np.stack([np.full(len(after), t[0, 0]), t[0, 1] * o, x[after - 1] * t[1, 0], x[after - 1] * t[1, 1] * o])
+            q /= q.sum(0)
+            grad[k + 1 : k + 5] += np.bincount(yy[after - 1] * 2 + yy[after], minlength=4) - q.sum(1)
+            grad[-1] += over[first].sum()
         mean, var = 0.9 * mean + 0.1 * grad, 0.97 * var + 0.03 * grad * grad
         theta = theta + 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.97**step)) + 1e-8)
-    model.weights, model.bias, model.trans, model.start = theta[: len(strong)], float(theta[len(strong)]), theta[len(strong) + 1 : len(strong) + 5].reshape(2, 2), float(theta[-1])
-    e = np.full(len(doc), model.bias)
-    np.add.at(e, tok, model.weights[feat])
-    p, _, _ = forward_backward(e, begins, model.trans, model.start)
+    model.weights, model.bias, model.trans, model.start = (x if isinstance(x, np.ndarray) else float(x) for x in unpack(theta))
+    p = np.concatenate([marginals(theta, part)[1] for part in parts])
     # calibration: logistic regression, with the sample weighted back to the labels' prior
     xs, ys = _aggregate(p, doc, n_docs)[held], label[held].astype(float)
     wt = np.where(ys > 0, prior / max(ys.mean(), 1e-9), (1 - prior) / max(1 - ys.mean(), 1e-9))
@@ -274,7 +306,7 @@ def spans_of(p: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray,
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 1500, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 2500, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000) -> Field:
     """Fits on a bounded sample of labelled documents outside the held-out fold: at most max_toxic and max_clean of them, by hash order."""
     lab = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held).select("doc_id", "toxic").distinct()
     prior = lab.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
