@@ -35,7 +35,7 @@ def targets(cells: DataFrame, margin: str, flatten: float) -> DataFrame:
     return t.select(margin, (F.col("t") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit: float = 1e-4) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit: float = 1e-3) -> tuple[DataFrame, float]:
     """(cells with `weight`, a share of one; the largest error left in a margin, relative to its target).
 
     goals: for each margin column a table (margin, target). A value without target, or with target 0, gets weight 0; a
@@ -44,28 +44,25 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return cells.withColumn("weight", F.lit(0.0)), 0.0
-    fixed = {}
-    for m, g in goals.items():
-        g = g.join(cells.where("tokens > 0").select(m).distinct(), m, "left_semi")
-        s = g.agg(F.sum("target")).first()[0] or 0.0
-        fixed[m] = cut(g.select(m, (F.col("target") / F.lit(s or 1.0)).alias("target")))
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    error = float("inf")
-    for k in range(1, rounds + 1):
-        off = None
-        for m, g in fixed.items():
-            sums = now.groupBy(m).agg(F.sum("weight").alias("held")).join(g, m, "left")
-            ratio = F.when(F.col("held") > 0, F.coalesce("target", F.lit(0.0)) / F.col("held")).otherwise(0.0)
-            now = now.join(sums.select(m, ratio.alias("ratio")), m)
-            now = now.withColumn("weight", F.col("weight") * F.col("ratio"))
-            now = now.withColumn("off", F.greatest(F.col("off"), F.abs(F.col("ratio") - 1)) if off else F.abs(F.col("ratio") - 1)).drop("ratio")
-            off = True
+    for m, g in goals.items():  # each cell takes along its margins' targets, scaled to the values that have cells
+        g = g.join(cells.where("tokens > 0").select(m).distinct(), m, "left_semi")
+        s = g.agg(F.sum("target")).first()[0] or 1.0
+        now = now.join(g.select(m, (F.col("target") / F.lit(s)).alias(f"goal_{m}")), m, "left")
+    now, error = cut(now), float("inf")
+    for _ in range(rounds):
+        off = F.lit(0.0)
+        for m in goals:
+            held = now.groupBy(m).agg(F.sum("weight").alias("held"))
+            ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
+            now = now.join(held, m).withColumns({"weight": F.col("weight") * ratio, "off": F.greatest(off, F.abs(ratio - 1))}).drop("held")
+            off = F.col("off")
         now = cut(now)
         error = now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0
         now = now.drop("off")
         if error <= fit:
             break
-    return now, float(error)
+    return now.drop(*[f"goal_{m}" for m in goals]), float(error)
 
 
 def calibrate(cells: DataFrame, share: float) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, ship, table
+from .common import fold, ship, table, trim
 from .kernels import _BYTE, ALNUM, _upto, mix, runs, slices, words
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
@@ -317,7 +317,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clea
         return Field()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")[: max_toxic + max_clean]
     texts, tox = got["text"].take(order), got["toxic"].to_numpy()[order] == 1
-    return fit(texts.combine_chunks().cast(pa.large_string()), tox, float(prior or 0.0))
+    model = fit(texts.combine_chunks().cast(pa.large_string()), tox, float(prior or 0.0))
+    del got, texts
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Field, *, spans: bool = True, span_at: float = 0.5) -> DataFrame:
