@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.functions import scalars
+from lumenweave.functions import bits, scalars
 from lumenweave.operators import frames, transforms
+from lumenweave.plans import filters
 from lumenweave.plans import frames_sql as S
 from lumenweave.plans.reports import PLANS
-from lumenweave.sources import patterns
+from lumenweave.sources import patterns, traces, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()}
 SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()}
@@ -88,3 +89,74 @@ j AS (SELECT o_orderstatus, o_orderpriority, n * 5.0::DOUBLE / tn AS fps, price
 s AS (SELECT *, 10 * log2(fps) + 4 * log2(1 / size) + 8 * dpsnr AS score FROM j)
 SELECT o_orderstatus, o_orderpriority, round(score, 5) AS score, CASE WHEN fps < 0.90 OR size > 1.20 OR dpsnr < -1.0 THEN 'regress' WHEN score >= 2 AND fps >= 1.10 THEN CASE WHEN dpsnr < -0.30 OR size > 1.05 THEN 'watch' ELSE 'accept' END WHEN score >= 0 THEN 'watch' ELSE 'regress' END AS status FROM s
 """
+
+
+# --- units, codes, logs and chains
+_ODD = "replace(replace(coalesce(text, ''), ' ', chr(0)), 'e', chr(1))"
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes with many zeros and ones, so that escapes occur."""
+    odd = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), " ", "\x00"), "e", "\x01")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("stream"), F.encode(odd, "UTF-8").alias("p"))
+
+
+def framed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two start-code units a text, written, scanned and unescaped."""
+    p = _payloads(spark, sf_dir)
+    one = lambda kind: bits.nal_unit(F.lit(kind), F.lit(3), F.lit(1), F.concat(F.col("p"), bits.byte(F.lit(kind))))
+    got = units.framed_units(p.select("stream", F.concat(one(7), one(20)).alias("data")))
+    return got.select("stream", "unit", "kind", "layer", "temporal", F.sha2(bits.unescape(F.col("payload")), 256).alias("sha"))
+
+
+QUERIES["framed_round_trip"] = framed_round_trip
+SQL["framed_round_trip"] = f"SELECT CAST(doc_id AS VARCHAR) AS stream, u AS unit, kind, 3 AS layer, 1 AS temporal, sha256({_ODD} || chr(kind)) AS sha FROM documents, (VALUES (0, 7), (1, 20)) t(u, kind)"
+
+
+def prefixed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit with a shortest and one with a four-byte length a text, written and scanned."""
+    p = _payloads(spark, sf_dir)
+    got = units.prefixed_units(p.select("stream", F.concat(bits.obu(F.lit(6), F.col("p")), bits.obu(F.lit(4), F.col("p"), width=4)).alias("data")))
+    return got.select("stream", "unit", "offset", "kind", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha"))
+
+
+QUERIES["prefixed_round_trip"] = prefixed_round_trip
+SQL["prefixed_round_trip"] = f"""
+WITH d AS (SELECT doc_id, {_ODD} AS t FROM documents), n AS (SELECT *, CAST(octet_length(encode(t)) AS BIGINT) AS size FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS stream, u AS unit, CAST(CASE u WHEN 0 THEN 0 ELSE size + 1 + CASE WHEN size + 1 < 128 THEN 1 WHEN size + 1 < 16384 THEN 2 WHEN size + 1 < 2097152 THEN 3 ELSE 4 END END AS BIGINT) AS "offset", kind, size, sha256(t) AS sha
+FROM n, (VALUES (0, 6), (1, 4)) v(u, kind)"""
+
+_frames("rice_code", lambda s: s.range(200).select(F.col("id").alias("v"), bits.rice(F.col("id"), 3).alias("code")), "SELECT range AS v, repeat('1', CAST(range // 8 AS INT)) || '0' || lpad(bin(range % 8), 3, '0') AS code FROM range(200)")
+_frames("quasi_uniform_code", lambda s: s.range(11).select(F.col("id").alias("v"), bits.quasi_uniform(F.col("id"), 11).alias("code")),
+        "SELECT range AS v, CASE WHEN range < 5 THEN lpad(bin(range), 3, '0') ELSE lpad(bin((range + 5) // 2), 3, '0') || ((range + 5) % 2) END AS code FROM range(11)")
+_frames("packed_bits", lambda s: s.range(300).select(F.col("id").alias("v"), F.hex(bits.pack(F.bin("id"), trailing=True)).alias("hex"), bits.unpack(bits.pack(F.bin("id"))).alias("back")),
+        "SELECT v, CASE WHEN v < 128 THEN printf('%02X', k) ELSE printf('%04X', k) END AS hex, rpad(b, CAST((length(b) + 7) // 8 * 8 AS INT), '0') AS back FROM (SELECT range AS v, bin(range) AS b, (2 * range + 1) << (CAST((8 - (length(bin(range)) + 1) % 8) % 8 AS INT)) AS k FROM range(300))")
+_frames("filter_chain", lambda s: filters.build(s, ["pattern=gradient", "identity", "crop=x=8:y=4:w=16:h=12", "scale=w=8:h=4"], filters.FrameInfo(S.W, S.H, "yuv444p8"), S.N)[0].select("frame", "y", "x", "v0", "v1", "v2"),
+        f"SELECT p.frame, g.y, g.x, v0, v1, v2 FROM {S.grid(8, 4, S.N)} g JOIN {_G} p ON p.frame = g.frame AND p.y = 4 + g.y * 12 // 4 AND p.x = 8 + g.x * 16 // 8")
+
+
+def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of counters in log lines made of events: a key given twice, a value that is no number, lines of another kind."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    u = F.col("user_id")
+    line = F.concat(F.when(F.col("event_id") % 4 == 0, "other ").otherwise("mode-stats "), "event_type", F.lit(" n=1 z=x k="), (u % 7).cast("string"), F.lit(" n="), (u % 5 - 2).cast("string"))
+    return traces.counter_totals(traces.counter_lines(e.select(line.alias("value")), "mode-stats"), "label")
+
+
+QUERIES["counter_log"] = counter_log
+SQL["counter_log"] = "SELECT event_type AS label, key, count(*) AS n, CAST(sum(CASE key WHEN 'k' THEN user_id % 7 ELSE user_id % 5 - 2 END) AS BIGINT) AS total FROM events, (VALUES ('k'), ('n')) t(key) WHERE event_id % 4 <> 0 GROUP BY event_type, key"
+
+
+def quality_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quality of log lines by event type and day: two values a line, some infinite."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    w = (F.col("event_id") % 100).cast("string")
+    second = F.when((F.col("user_id") % 3 == 0) | (F.col("user_id") % 3 == 1) & (F.col("event_id") % 2 == 0), "inf").otherwise(F.concat(w, F.lit(".25")))
+    first = F.when(F.col("user_id") % 3 == 0, "inf").otherwise(w)
+    lines = e.select((F.col("user_id") % 3).alias("g"), F.concat(F.lit("frame: psnr_y=1 psnr_all="), first, F.lit(" again psnr_all="), second).alias("value"))
+    return traces.quality_log(lines, "g").withColumn("psnr_all", F.round("psnr_all", 6))
+
+
+QUERIES["quality_log"] = quality_log
+SQL["quality_log"] = """
+SELECT user_id % 3 AS g, 2 * count(*) AS frames, CASE user_id % 3 WHEN 0 THEN CAST('inf' AS DOUBLE) WHEN 1 THEN NULL ELSE round(avg((event_id % 100 + event_id % 100 + 0.25::DOUBLE) / 2), 6) END AS psnr_all FROM events GROUP BY user_id % 3"""
