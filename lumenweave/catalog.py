@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.functions import bits, scalars
+from lumenweave.functions import bits, scalars, specs
 from lumenweave.operators import frames, transforms
 from lumenweave.plans import filters
 from lumenweave.plans import frames_sql as S
@@ -160,3 +160,38 @@ def quality_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["quality_log"] = quality_log
 SQL["quality_log"] = """
 SELECT user_id % 3 AS g, 2 * count(*) AS frames, CASE user_id % 3 WHEN 0 THEN CAST('inf' AS DOUBLE) WHEN 1 THEN NULL ELSE round(avg((event_id % 100 + event_id % 100 + 0.25::DOUBLE) / 2), 6) END AS psnr_all FROM events GROUP BY user_id % 3"""
+
+
+# --- cosine transform, steps and text forms
+_frames("dct_4x4", lambda s: transforms.block_levels(_off(_p(s, "gradient")), 90).select("frame", "gy", "gx", *[F.col(n)[k].alias(f"{n}{k}") for k in range(16) for n in ("c", "q")], "sse"),
+        S.dct(S.disturbed(_G), transforms.step_size(90)))
+_frames("quantiser_steps", lambda s: s.createDataFrame([(d, i, transforms.step_size(i, d)) for d in (8, 10, 12) for i in range(360)], "depth int, qindex int, step long"),
+        f"SELECT depth, i AS qindex, CAST(CASE WHEN k < 25 THEN {list(transforms.STEPS)}[k + 1] ELSE {list(transforms.STEPS)}[(k - 1) % 24 + 2] * (1 << ((k - 1) // 24)) END AS BIGINT) AS step FROM (SELECT depth, i, greatest(1, least(i, top)) AS k FROM (VALUES (8, 255), (10, 303), (12, 351)) t(depth, top), (SELECT CAST(range AS INT) AS i FROM range(360)))")
+
+
+def rate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rates written as a whole number, a ratio and a decimal."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 4).alias("k"), (F.col("o_orderkey") % 97).alias("n"))
+    n = F.col("n").cast("string")
+    t = F.when(F.col("k") == 0, n).when(F.col("k") == 1, F.concat(n, F.lit("/1001"))).when(F.col("k") == 2, F.concat(n, F.lit(".050"))).otherwise(F.concat(n, F.lit(".")))
+    return o.select("o_orderkey", specs.frame_rate(t).alias("r")).select("o_orderkey", "r.num", "r.den")
+
+
+QUERIES["rate_forms"] = rate_forms
+SQL["rate_forms"] = "SELECT o_orderkey, CASE WHEN k = 3 OR k < 2 AND n = 0 THEN NULL WHEN k = 2 THEN n * 1000 + 50 ELSE n END AS num, CASE WHEN k = 3 OR k < 2 AND n = 0 THEN NULL WHEN k = 0 THEN 1 WHEN k = 1 THEN 1001 ELSE 1000 END AS den FROM (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 97 AS n FROM orders)"
+
+
+def video_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and formats, codec paths and settings, split and checked."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", (F.col("p_partkey") % 3).alias("k"))
+    n = F.col("p_size").cast("string")
+    v = specs.video_spec(F.concat(n, F.lit("x"), F.when(F.col("k") == 0, "0").otherwise(n), F.lit(":"), F.when(F.col("k") == 1, "yuv422p10le").otherwise("y8")))
+    c = specs.codec_path(F.concat(F.when(F.col("k") == 0, "").otherwise("av"), F.lit(":a:"), n))
+    s = specs.setting(F.concat(F.lit("qp"), F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit("="), n))))
+    return p.select("p_partkey", v["width"].alias("w"), v["sampling"].alias("sampling"), v["depth"].alias("depth"), c["path"].alias("path"), s["value"].alias("value"), specs.accepts(s["value"], between=(10, 40)).alias("fits"), specs.accepts(s["value"]).alias("flag"))
+
+
+QUERIES["video_forms"] = video_forms
+SQL["video_forms"] = """
+SELECT p_partkey, CASE WHEN k > 0 THEN CAST(p_size AS BIGINT) END AS w, CASE k WHEN 1 THEN '422' WHEN 2 THEN '400' END AS sampling, CASE k WHEN 1 THEN 10 WHEN 2 THEN 8 END AS depth, CASE WHEN k > 0 THEN 'a:' || p_size END AS path,
+  CASE WHEN k = 0 THEN 'true' ELSE CAST(p_size AS VARCHAR) END AS value, k > 0 AND p_size BETWEEN 10 AND 40 AS fits, k = 0 OR p_size = 1 AS flag FROM (SELECT *, p_partkey % 3 AS k FROM part)"""

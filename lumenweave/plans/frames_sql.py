@@ -71,3 +71,21 @@ def wht(s: str) -> str:
         _, out = _lift([f"t{4 * j + i}" for i in range(4)])
         rows |= {4 * j + i: out[i] for i in range(4)}
     return "SELECT frame, gy, gx, " + ", ".join(f"CAST({rows[k]} * 8 AS BIGINT) AS c{k}" for k in range(16)) + f", TRUE AS exact FROM {mid}"
+
+
+def dct(s: str, step: int) -> str:
+    """Cosine coefficients and levels of 4 x 4 blocks of v0 - 128, and the squared error, a select for each pass."""
+    f = ((11585, 11585, 11585, 11585), (15137, 6270, -6270, -15137), (11585, -11585, -11585, 11585), (6270, -15137, 15137, -6270))
+    g = ((64, 64, 64, 64), (83, 35, -35, -83), (64, -64, -64, 64), (35, -83, 83, -35))
+    cells = [(j, i) for j in range(4) for i in range(4)]
+    cut = lambda e, r: f"greatest(-{r}, least({r} - 1, {e}))"
+    keep = "SELECT frame, gy, gx, "
+    sql = f"(SELECT frame, y // 4 AS gy, x // 4 AS gx, " + ", ".join(f"max(CASE WHEN y % 4 = {j} AND x % 4 = {i} THEN v0 - 128 END) AS s{4 * j + i}" for j, i in cells) + f" FROM {s} GROUP BY frame, y // 4, x // 4)"
+    put = lambda j, i: f"(s{4 * j + i} * 16" + (" + CAST(s0 <> 0 AS BIGINT))" if j == i == 0 else ")")
+    sql = f"(SELECT *, " + ", ".join(f"({' + '.join(f'{f[k][j]} * {put(j, i)}' for j in range(4))} + 8192) >> 14 AS t{4 * k + i}" for k, i in cells) + f" FROM {sql})"
+    sql = "(SELECT *, " + ", ".join(f"((({' + '.join(f'{f[m][i]} * t{4 * k + i}' for i in range(4))} + 8192) >> 14) + 1) >> 2 AS c{4 * k + m}" for k, m in cells) + f" FROM {sql})"
+    sql = "(SELECT *, " + ", ".join(f"sign(c{k}) * CASE WHEN abs(c{k}) * 16 >= {step} THEN ((abs(c{k}) + {64 * step // 1024}) * {(1 << 23) // step}) >> 20 ELSE 0 END AS q{k}" for k in range(16)) + f" FROM {sql})"
+    back = lambda k: f"(sign(q{k}) * ((abs(q{k}) * {step} + 4) >> 3))"
+    sql = "(SELECT *, " + ", ".join(cut(f"(({' + '.join(f'{g[m][i]} * ' + cut(back(4 * k + m), 32768) for m in range(4))} + 64) >> 7)", 32768) + f" AS w{4 * k + i}" for k, i in cells) + f" FROM {sql})"
+    sse = " + ".join("pow(" + cut(f"(({' + '.join(f'{g[k][j]} * w{4 * k + i}' for k in range(4))} + 512) >> 10)", 256) + f" - s{4 * j + i}, 2)" for j, i in cells)
+    return keep + ", ".join(f"CAST(c{k} AS BIGINT) AS c{k}, CAST(q{k} AS BIGINT) AS q{k}" for k in range(16)) + f", CAST({sse} AS BIGINT) AS sse FROM {sql}"
