@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.functions import bits, scalars, specs
-from lumenweave.operators import frames, transforms
+from lumenweave.operators import checks, frames, prediction, transforms
 from lumenweave.plans import filters
 from lumenweave.plans import frames_sql as S
 from lumenweave.plans.reports import PLANS
@@ -195,3 +195,28 @@ QUERIES["video_forms"] = video_forms
 SQL["video_forms"] = """
 SELECT p_partkey, CASE WHEN k > 0 THEN CAST(p_size AS BIGINT) END AS w, CASE k WHEN 1 THEN '422' WHEN 2 THEN '400' END AS sampling, CASE k WHEN 1 THEN 10 WHEN 2 THEN 8 END AS depth, CASE WHEN k > 0 THEN 'a:' || p_size END AS path,
   CASE WHEN k = 0 THEN 'true' ELSE CAST(p_size AS VARCHAR) END AS value, k > 0 AND p_size BETWEEN 10 AND 40 AS fits, k = 0 OR p_size = 1 AS flag FROM (SELECT *, p_partkey % 3 AS k FROM part)"""
+
+
+# --- validation and choice of predictors
+def lossless_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as frames of their source's stream against copies of which some are changed, grown or lost."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("stream"), F.col("doc_id").alias("frame_index"), F.coalesce("text", F.lit("")).alias("t"))
+    i = F.col("frame_index")
+    t = F.when(i % 97 == 5, F.concat("t", F.lit("x"))).when(i % 89 == 7, F.upper("t")).otherwise(F.col("t"))
+    return checks.validate(d.select("stream", "frame_index", F.encode("t", "UTF-8").alias("data")), d.where(i % 101 != 3).select("stream", "frame_index", F.encode(t, "UTF-8").alias("data")))
+
+
+QUERIES["lossless_validation"] = lossless_validation
+SQL["lossless_validation"] = """
+WITH a AS (SELECT source, doc_id, coalesce(text, '') AS t, doc_id % 101 <> 3 AS there, CASE WHEN doc_id % 97 = 5 THEN coalesce(text, '') || 'x' WHEN doc_id % 89 = 7 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS u FROM documents),
+g AS (SELECT source, count(*) AS n_source, count(*) FILTER (there) AS n_coded, sum(octet_length(encode(t))) AS b0, coalesce(sum(octet_length(encode(u))) FILTER (there), 0) AS b1, min(CASE WHEN NOT there OR t <> u THEN doc_id END) AS first_bad FROM a GROUP BY source)
+SELECT source AS stream, CASE WHEN n_coded = 0 THEN 'missing' WHEN b0 <> b1 THEN 'length' WHEN first_bad IS NOT NULL THEN 'samples' ELSE 'equal' END AS status, n_source, n_coded, first_bad FROM g"""
+_frames("intra_short_list", lambda s: prediction.short_list(prediction.intra_modes(_off(_p(s, "gradient"))), 2), f"""
+WITH s AS MATERIALIZED (SELECT * FROM {S.disturbed(_G)}),
+e AS (SELECT o.frame, o.y // 4 AS gy, o.x // 4 AS gx, o.v0 AS v, l.v0 AS l, a.v0 AS a, c.v0 AS c, d.dc FROM s o
+  JOIN s l ON l.frame = o.frame AND l.y = o.y AND l.x = o.x // 4 * 4 - 1 JOIN s a ON a.frame = o.frame AND a.x = o.x AND a.y = o.y // 4 * 4 - 1 JOIN s c ON c.frame = o.frame AND c.x = o.x // 4 * 4 - 1 AND c.y = o.y // 4 * 4 - 1
+  JOIN (SELECT frame, gy, gx, (sum(v0) + 4) // 8 AS dc FROM (SELECT frame, y // 4 AS gy, x // 4 + 1 AS gx, v0 FROM s WHERE x % 4 = 3 UNION ALL SELECT frame, y // 4 + 1, x // 4, v0 FROM s WHERE y % 4 = 3) GROUP BY frame, gy, gx) d ON d.frame = o.frame AND d.gy = o.y // 4 AND d.gx = o.x // 4),
+p AS (SELECT *, CASE WHEN abs(a - c) <= abs(l - c) AND abs(a - c) <= abs(l + a - 2 * c) THEN l WHEN abs(l - c) <= abs(l + a - 2 * c) THEN a ELSE c END AS q FROM e),
+m AS (SELECT frame, gy, gx, k, mode, CAST(sum(CASE k WHEN 1 THEN (v - dc) * (v - dc) WHEN 2 THEN (v - a) * (v - a) WHEN 3 THEN (v - l) * (v - l) ELSE (v - q) * (v - q) END) AS BIGINT) AS sse FROM p, (VALUES (1, 'dc'), (2, 'vertical'), (3, 'horizontal'), (4, 'paeth')) t(k, mode) GROUP BY frame, gy, gx, k, mode),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame, gy, gx ORDER BY sse, k) AS n FROM m)
+SELECT frame, gy, gx, string_agg(mode, ',' ORDER BY n) AS modes, min(sse) AS sse FROM r WHERE n <= 2 GROUP BY frame, gy, gx""")
