@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import bits, scalars, specs
 from lumenweave.operators import checks, frames, prediction, transforms
-from lumenweave.plans import filters
+from lumenweave.plans import filters, kernels
 from lumenweave.plans import frames_sql as S
 from lumenweave.plans.reports import PLANS
 from lumenweave.sources import patterns, traces, units
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()}
-SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()} | kernels.QUERIES
+SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()} | kernels.SQL
 
 
 def _frames(name: str, build: Callable[[SparkSession], DataFrame], sql: str) -> None:

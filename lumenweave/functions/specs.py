@@ -53,3 +53,27 @@ def accepts(value: Column, choices: tuple[str, ...] = BOOLEANS, between: tuple[i
     if between is None:
         return F.coalesce(value.isin(*choices), F.lit(False))
     return F.coalesce(_whole(value).between(*between), F.lit(False))
+
+
+def config_error(codec: Column, pixels: Column, rate: Column, settings: Column, *, name: str, formats: tuple[str, ...], lossless: tuple[str, ...], takes: dict[str, tuple]) -> Column:
+    """What is wrong first with an encoder's configuration, null if nothing: `codec`, `format`, `lossless`, or a kind and the setting it is about.
+
+    rate is `lossless`, `quantiser` or anything else; settings is an array of `name=value`. `takes` gives each setting its choices, or (least, most) as two numbers.
+    A setting may be in conflict with the rate, given twice, unknown, or have a value that is not taken.
+    """
+    both = F.transform(settings, setting)
+
+    def wrong(s: Column, i: Column) -> Column:
+        n, v = s["name"], s["value"]
+        clash = (n == "lossless") | ((n == "qp") & rate.isin("lossless", "quantiser"))
+        twice = F.exists(F.slice(both, 1, i), lambda t: t["name"] == n)
+        fits = F.lit(False)
+        for k, what in takes.items():
+            numbers = len(what) == 2 and all(isinstance(x, int) for x in what)
+            fits = fits | ((n == k) & (accepts(v, between=what) if numbers else accepts(v, what)))
+        bad = F.when(clash, "conflict").when(twice, "twice").when(~n.isin(*takes), "unknown").when(~fits, "value")
+        return F.concat(bad, F.lit(" "), n)
+
+    first = F.get(F.filter(F.transform(both, wrong), lambda e: e.isNotNull()), F.lit(0))
+    start = F.when(codec != name, "codec").when(~pixels.isin(*formats), "format").when((rate == "lossless") & ~pixels.isin(*lossless), "lossless")
+    return F.coalesce(start, first)
