@@ -272,4 +272,18 @@ def brute_force(docs: list[tuple], items: list[tuple], size: int = 8) -> dict:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: op4 from its definition: windows are joined with the documents' word sequences of each window length. A space is in no word.
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, n, list_aggregate(w[k + 1 : k + n], 'string_agg', ' ') AS s FROM (SELECT *, least(8, len(w)) AS n FROM b WHERE len(w) > 0), LATERAL (SELECT unnest(range(len(w) - n + 1)) AS k)),
+g AS (SELECT r, k, n, list_aggregate(w[k + 1 : k + n], 'string_agg', ' ') AS s FROM d, (SELECT DISTINCT n FROM q), LATERAL (SELECT unnest(range(greatest(0, len(w) - n + 1))) AS k)),
+m AS (SELECT r, k, n, item FROM g JOIN q USING (n, s)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM m)) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""

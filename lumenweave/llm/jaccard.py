@@ -386,3 +386,16 @@ def brute_force(docs: list[tuple], size: int = 5) -> dict:
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: op6 from its definition: sets of equal shingles are one, pairs that share a shingle are counted, and links are followed from each set.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[k + 1 : k + least(5, len(w))], 'string_agg', ' ') AS g FROM d, LATERAL (SELECT unnest(range(greatest(1, len(w) - 4))) AS k) WHERE len(w) > 0),
+f AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+e AS (SELECT h, min(doc_id) AS rep, min(n) AS n FROM f GROUP BY h),
+t AS (SELECT rep, n, g FROM e JOIN s ON s.doc_id = e.rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.g = b.g AND a.rep <> b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS (SELECT rep AS a, rep AS b FROM e UNION SELECT c.a, p.b FROM c JOIN p ON p.a = c.b),
+m AS (SELECT a, min(b) AS component_id FROM c GROUP BY a)
+SELECT d.doc_id, coalesce(f.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id FROM d LEFT JOIN f USING (doc_id) LEFT JOIN e USING (h) LEFT JOIN m ON m.a = e.rep"""
