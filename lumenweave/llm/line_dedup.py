@@ -137,4 +137,21 @@ def brute_force(docs: list[tuple], least_words: int = 50) -> dict:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed")
+    out = dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
+#: op1 by the same runs, each named by its whole text instead of ranks
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13)) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+k AS (SELECT doc_id, i, t, len(regexp_extract_all(t, '[^ \t]+')) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE t <> ''),
+n AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY p) AS c FROM k),
+j AS (SELECT a.doc_id, a.p AS b, o.p AS e FROM n a JOIN n o ON o.doc_id = a.doc_id AND o.p BETWEEN a.p AND a.p + 50 AND o.c - a.c + a.k >= 50),
+r AS (SELECT doc_id, b, min(e) AS e FROM j GROUP BY doc_id, b UNION SELECT doc_id, max(b), e FROM j GROUP BY doc_id, e),
+s AS (SELECT r.doc_id, b, e, string_agg(t, chr(10) ORDER BY p) AS s FROM r JOIN n ON n.doc_id = r.doc_id AND p BETWEEN b AND e GROUP BY r.doc_id, b, e),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, b) AS nth FROM s) WHERE nth > 1),
+g AS (SELECT DISTINCT n.doc_id, n.i FROM n JOIN y ON y.doc_id = n.doc_id AND n.p BETWEEN y.b AND y.e),
+z AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(list_aggregate(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), 'string_agg', chr(10)), '') END AS text,
+  CAST(CASE WHEN doc_id IS NOT NULL THEN len(string_split(text, chr(10))) END AS INT) AS n_lines, CAST(CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL THEN coalesce(len(gone), 0) END AS INT) AS n_removed,
+  CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL THEN coalesce(array_to_string(gone, ','), '') END AS removed FROM documents LEFT JOIN z USING (doc_id)"""
