@@ -25,7 +25,7 @@ SELECT o_orderstatus, category, CAST(sum(n) AS BIGINT) AS total FROM (
   SELECT o_orderstatus, 'other', CAST(NOT (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') AS INT) FROM orders) c GROUP BY o_orderstatus, category""")
 _add("category_top3", lambda s: """
 SELECT o_orderstatus, k, o_orderpriority, pct FROM (
-  SELECT o_orderstatus, o_orderpriority, round(n * 100.0 / sum(n) OVER (PARTITION BY o_orderstatus), 4) AS pct, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS k
+  SELECT o_orderstatus, o_orderpriority, round(n * 100e0 / sum(n) OVER (PARTITION BY o_orderstatus), 4) AS pct, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS k
   FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority) a) b WHERE k <= 3""")
 _add("merge_duplicates_last_wins", lambda s: "SELECT user_id, event_type, round(sum(value), 4) AS total, max_by(props, event_id) AS last_props FROM events GROUP BY user_id, event_type")
 _add("map_merge", lambda s: f"SELECT event_type, CAST(sum({s.json_k('props')}) AS BIGINT) AS k, count({s.json_k('props')}) AS n FROM events GROUP BY event_type")
@@ -40,7 +40,7 @@ _add("inf_aware_mean", lambda s: f"""
 SELECT g, coalesce(round(avg(CASE WHEN v < {s.inf} THEN v END), 6), CASE WHEN count(v) > 0 AND min(v) = {s.inf} THEN {s.inf} END) AS mean FROM (
   SELECT o_orderpriority AS g, CASE WHEN o_orderpriority LIKE '1%' OR o_orderkey % 7 = 0 THEN {s.inf} WHEN o_orderpriority LIKE '5%' THEN NULL ELSE o_totalprice END AS v FROM orders) t GROUP BY g""")
 _add("mode_pivot", lambda s: """
-SELECT o_orderpriority, f, o, round(f * 1.0 / o, 6) AS ratio FROM (
+SELECT o_orderpriority, f, o, round(f * 1e0 / o, 6) AS ratio FROM (
   SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o FROM orders GROUP BY o_orderpriority) p WHERE o > 0""")
 _add("run_totals", lambda s: "SELECT count(*) AS frames, round(sum(l_extendedprice), 2) AS size, round(sum(l_extendedprice) * 8 / (count(*) / 30.0) / 1000, 4) AS kbps FROM lineitem")
 _add("skipped_combinations", lambda s: """
@@ -51,7 +51,7 @@ _add("hierarchy_rollup", lambda s: f"""
 SELECT path, round(sum(direct), 2) AS inclusive, count(*) AS n FROM (
   SELECT {s.explode_prefixes('p')} AS path, direct FROM (
     SELECT concat(concat(concat(concat(r_name, '.'), n_name), '.'), c_mktsegment) AS p, sum(c_acctbal) AS direct FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name, c_mktsegment) d) e GROUP BY path""")
-_add("tail_share", lambda s: "SELECT l_returnflag, sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) AS tail, round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) * 100.0 / count(*) END, 6) AS pct FROM lineitem GROUP BY l_returnflag")
+_add("tail_share", lambda s: "SELECT l_returnflag, sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) AS tail, round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) * 100e0 / count(*) END, 6) AS pct FROM lineitem GROUP BY l_returnflag")
 _add("mode_histogram", lambda s: "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size")
 _add("named_counters", lambda s: f"SELECT concat(concat(event_type, '/'), {s.text('user_id % 5')}) AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 _add("attributed_deltas", lambda s: "SELECT user_id, sum(d) AS gained FROM (SELECT user_id, event_id - lag(event_id, 1, 0) OVER (ORDER BY event_id) AS d FROM events) t GROUP BY user_id")
@@ -62,21 +62,21 @@ _add("text_statistics", lambda s: "SELECT lang, count(*) AS modules, sum(length(
 # --- joins
 _add("baseline_delta", lambda s: f"""
 WITH y AS (SELECT o_orderstatus, o_orderpriority, {s.year('o_orderdate')} AS yr, count(*) AS n FROM orders GROUP BY 1, 2, 3)
-SELECT c.o_orderstatus, c.o_orderpriority, c.yr, c.n, p.n AS baseline_n, c.n - p.n AS delta_n, round(c.n * 1.0 / p.n, 6) AS ratio
+SELECT c.o_orderstatus, c.o_orderpriority, c.yr, c.n, p.n AS baseline_n, c.n - p.n AS delta_n, round(c.n * 1e0 / p.n, 6) AS ratio
 FROM y c LEFT JOIN y p ON c.o_orderstatus = p.o_orderstatus AND c.o_orderpriority = p.o_orderpriority AND c.yr = p.yr + 1""")
 _add("parity_join", lambda s: """
 WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)
-SELECT a.user_id, a.n AS own, b.n AS other, round(a.n * 1.0 / b.n, 6) AS ratio FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type = 'click'""")
+SELECT a.user_id, a.n AS own, b.n AS other, round(a.n * 1e0 / b.n, 6) AS ratio FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type = 'click'""")
 _add("pairwise_ratio", lambda s: """
 WITH t AS (SELECT l_partkey, l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_partkey, l_returnflag),
 j AS (SELECT b.l_returnflag AS other, a.l_partkey, a.q AS base_q, b.q AS other_q, row_number() OVER (PARTITION BY b.l_returnflag ORDER BY b.q - a.q DESC, a.l_partkey) AS k FROM t a JOIN t b ON a.l_partkey = b.l_partkey WHERE a.l_returnflag = 'N' AND b.l_returnflag <> 'N')
-SELECT other, count(*) AS matched, CAST(sum(base_q) AS BIGINT) AS base_q, CAST(sum(other_q) AS BIGINT) AS other_q, round(sum(other_q) * 1.0 / sum(base_q), 6) AS ratio, max(CASE WHEN k = 1 THEN l_partkey END) AS worst FROM j GROUP BY other""")
+SELECT other, count(*) AS matched, CAST(sum(base_q) AS BIGINT) AS base_q, CAST(sum(other_q) AS BIGINT) AS other_q, round(sum(other_q) * 1e0 / sum(base_q), 6) AS ratio, max(CASE WHEN k = 1 THEN l_partkey END) AS worst FROM j GROUP BY other""")
 _add("label_join_with_fallback", lambda s: "SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, CASE WHEN l.doc_id IS NULL THEN concat('unlabelled/', d.source) ELSE concat('labelled/', d.source) END AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 _add("dimension_join_with_default", lambda s: f"""
 SELECT coalesce(m.module, concat('other::', e.event_type)) AS module, count(*) AS n FROM events e
 LEFT JOIN {s.values("('click', 'ui::pointer'), ('view', 'ui::page')", 'event_type, module')} m ON e.event_type = m.event_type GROUP BY 1""")
 _add("size_comparison", lambda s: """
-SELECT p_brand, a.n AS own, b.n AS reference, round(a.n * 1.0 / b.n, 6) AS ratio FROM (SELECT p_brand, sum(p_size) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand) a JOIN (SELECT p_brand, sum(p_size) AS n FROM part WHERE p_partkey % 2 = 1 GROUP BY p_brand) b USING (p_brand)""")
+SELECT p_brand, a.n AS own, b.n AS reference, round(a.n * 1e0 / b.n, 6) AS ratio FROM (SELECT p_brand, sum(p_size) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand) a JOIN (SELECT p_brand, sum(p_size) AS n FROM part WHERE p_partkey % 2 = 1 GROUP BY p_brand) b USING (p_brand)""")
 _add("cache_lookup", lambda s: f"SELECT count(*) AS reused FROM (SELECT {s.sha256('text')} AS k FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT DISTINCT {s.sha256('text')} AS k FROM documents WHERE doc_id % 2 = 1) b ON a.k = b.k")
 _add("longest_prefix_resolution", lambda s: f"""
 SELECT p_type, max(CASE WHEN k = 1 THEN pre END) AS known FROM (
@@ -84,8 +84,8 @@ SELECT p_type, max(CASE WHEN k = 1 THEN pre END) AS known FROM (
     SELECT p_type, {s.explode_prefixes("replace(p_type, ' ', '.')")} AS pre FROM (SELECT DISTINCT p_type FROM part) d) e
   WHERE length(pre) % 2 = 0) f GROUP BY p_type""")
 # --- windows
-_add("share_of_group", lambda s: "SELECT o_orderstatus, o_orderpriority, n, round(n * 100.0 / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS pct FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) g")
-_add("share_of_total_top_k", lambda s: "SELECT * FROM (SELECT l_suppkey, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) g) t ORDER BY n DESC, l_suppkey LIMIT 18")
+_add("share_of_group", lambda s: "SELECT o_orderstatus, o_orderpriority, n, round(n * 100e0 / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS pct FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) g")
+_add("share_of_total_top_k", lambda s: "SELECT * FROM (SELECT l_suppkey, n, round(n * 100e0 / sum(n) OVER (), 6) AS pct FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) g) t ORDER BY n DESC, l_suppkey LIMIT 18")
 _add("per_distinct_average", lambda s: "SELECT event_type, round(sum(value) / count(DISTINCT user_id), 6) AS per_user FROM events GROUP BY event_type")
 _add("running_offset", lambda s: "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bit_offset FROM lineitem")
 _add("previous_row", lambda s: "SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events")

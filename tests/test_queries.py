@@ -19,7 +19,7 @@ def oracle():
 
 
 def norm(rows):
-    return sorted([tuple(round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v for v in r) for r in rows], key=repr)
+    return sorted([tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows], key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
