@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST, MOST = 2, 6  # colours of a palette
+PROBED = 16  # colours of the cache that are looked at
 
 
 def medians(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -67,3 +68,40 @@ def block_palettes(s: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists(0), lists(1), pa.array(sad)], names=["frame", "gy", "gx", "colours", "indices", "sad"])
 
     return blocks.mapInArrow(run, "frame long, gy long, gx long, colours array<long>, indices array<long>, sad long")
+
+
+def _number(v: Column, bits: Column) -> Column:
+    """A number in so many bits, none for none."""
+    return F.when(bits <= 0, "").otherwise(F.call_function("lpad", F.bin(v), bits.cast("int"), F.lit("0")))
+
+
+def _log_up(v: Column) -> Column:
+    return F.when(v <= 1, 0).otherwise(F.length(F.bin(v - 1)))
+
+
+def colour_code(colours: Column, cache: Column, depth: int = 8) -> Column:
+    """Bits, as text, of a palette (distinct colours ascending) after the neighbours' colours (an array).
+
+    A bit for each colour of the cache says whether the palette has it, up to the one that completes the palette; only the first 16 are looked at, the others are
+    no. Then come the colours not yet there: the first as it is, and steps less one in as many bits as the largest takes, which shrink with the room that is left.
+    """
+    here = F.transform(cache, lambda c, i: (i < PROBED) & F.array_contains(colours, c) & ~F.exists(F.slice(cache, 1, i), lambda b: b == c))
+    whole = F.size(F.filter(here, lambda h: h)) == F.size(colours)
+    last = F.size(cache) - F.array_position(F.reverse(here), F.lit(True)).cast("int") + 1
+    flags = F.array_join(F.transform(F.when(whole & F.exists(here, lambda h: h), F.slice(here, F.lit(1), last)).otherwise(here), lambda h: F.when(h, "1").otherwise("0")), "")
+    rest = F.filter(colours, lambda c: ~F.exists(F.slice(cache, 1, PROBED), lambda b: b == c))
+
+    def code(r: Column) -> Column:
+        first, least = F.get(r, F.lit(0)), depth - 3
+        steps = F.transform(F.slice(r, F.lit(2), F.size(r)), lambda v, i: v - F.get(r, i))
+        bits = F.greatest(_log_up(F.array_max(steps)), F.lit(least))
+
+        def add(state: Column, d: Column) -> Column:
+            room = state["room"] - d
+            return F.struct(F.concat(state["text"], _number(d - 1, state["bits"])).alias("text"), F.least(state["bits"], _log_up(room)).alias("bits"), room.alias("room"))
+
+        start = F.struct(_number(bits - least, F.lit(2)).alias("text"), bits.alias("bits"), ((1 << depth) - 1 - first).cast("long").alias("room"))
+        tail = F.when(F.size(steps) > 0, F.aggregate(steps, start, add, lambda s: s["text"])).otherwise("")
+        return F.when(F.size(r) == 0, "").otherwise(F.concat(_number(first, F.lit(depth)), tail))
+
+    return F.concat(flags, F.get(F.transform(F.array(rest), code), F.lit(0)))

@@ -190,3 +190,29 @@ def test_palettes(spark):
     s = spark.createDataFrame([(0, y, x, (x * y) % 11) for y in range(8) for x in range(9)], "frame long, y long, x long, v0 long")
     (r,) = palettes.block_palettes(s).collect()
     assert len(r["colours"]) == 6 and r["sad"] == sum(abs((k % 8) * (k // 8) % 11 - r["colours"][i]) for k, i in enumerate(r["indices"]))
+
+
+def test_colour_code(spark):
+    rnd = random.Random(13)
+    rows = [(sorted(rnd.sample(range(256), n)), [rnd.randrange(256) for _ in range(m)]) for n in (1, 2, 6, 8) for m in (0, 3, 20)]
+    rows += [(c, [*c[:3], 0, 0, *c[3:], 9]) for c, _ in rows] + [([1, 2, 3], [9] * 16 + [1, 2, 3]), ([250, 251, 254, 255], [])]
+    log = lambda v: (v - 1).bit_length() if v > 1 else 0
+    for c, k, got in spark.createDataFrame(rows, "c array<long>, k array<long>").select("c", "k", palettes.colour_code(F.col("c"), F.col("k"))).collect():
+        want, left = "", list(c)
+        for i, v in enumerate(k):
+            want += str(int(i < 16 and v in left))
+            if i < 16 and v in left:
+                left.remove(v)
+                if not left:
+                    break
+        if left:
+            want += f"{left[0]:08b}"
+            steps = [b - a for a, b in itertools.pairwise(left)]
+            if steps:
+                bits, room = max(5, log(max(steps))), 255 - left[0]
+                want += f"{bits - 5:02b}"
+                for d in steps:
+                    want += f"{d - 1:0{bits}b}" if bits else ""
+                    room -= d
+                    bits = min(bits, log(room))
+        assert got == want
