@@ -43,9 +43,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn at target weights, with their weight and probability."""
+    """The documents drawn at target weights, with their weight, probability and what their margins miss."""
     drawn = mixing.mix(docs).where("selected")
-    return drawn.select(*COLUMNS, "n_tokens", "topic", "weight", "probability")
+    return drawn.select(*COLUMNS, "n_tokens", "topic", "weight", "probability", "missed")
 
 
 STAGES = [

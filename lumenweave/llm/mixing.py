@@ -2,20 +2,25 @@
 
 Documents are counted once into cells of (source, language, topic) with their tokens. The cells' weights
 are raked: scaled to the first margin's targets, then the second's, the third's, round after round, until
-each margin fits or `rounds` are over. Then a factor is found so that the expected tokens of the sample
-are the wanted share: a cell's documents are drawn with probability min(1, factor * weight / tokens),
-by a hash of doc_id. Only the scan of documents grows with the corpus; raking works on cells, as
-DataFrames, whatever their number.
+each margin fits or `rounds` are over. Documents can be drawn once at most, so the weights are raked again
+with the cells' tokens as bounds: a cell is drawn with probability min(1, product of one factor for each
+margin), by a hash of doc_id, and the factors are found so that the expected tokens are the wanted share of
+all and every margin fits. A value whose target asks for more tokens than it has is drawn whole, and the
+others of its margin share the rest by their targets; what is missed so is returned. Only the scan of
+documents grows with the corpus; raking works on cells, as DataFrames, whatever their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, uniform
 
 NONE = "\u0000none"
+CELL = ("source", "lang", "topic")
 
 
 def n_tokens(text: Column) -> Column:
@@ -84,31 +89,98 @@ def calibrate(cells: DataFrame, share: float) -> DataFrame:
     return cells.withColumn("probability", p)
 
 
-def mix(docs: DataFrame, *, share: float = 0.7, flatten: dict[str, float] | None = None, topic: Column | None = None, goals: dict[str, DataFrame] | None = None, seed: int = 11) -> DataFrame:
-    """All columns of docs and n_tokens, topic, weight (of the document's cell, as a multiple of its share), probability, selected.
+def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds: int = 60, fit: float = 1e-4) -> DataFrame:
+    """raked cells with `probability`: expected tokens are share * all, or all of positive weight if they are fewer, and margins fit as far as tokens reach.
 
-    Margins are source, lang and topic; `flatten` gives each margin's power of its share as target, unless `goals` gives tables. A null
-    source, language or topic is a value of its own. Texts without tokens, null ones too, have probability 0. Rows that repeat
-    a doc_id are drawn together; a null doc_id draws by its null. Columns named like the added ones are replaced.
+    In a step all cells of a margin's value get the one factor that gives the value its tokens, cells being whole at
+    probability 1. It is the largest of the factors that are right where the cells from some place on, by probability, are whole.
     """
+    got = raked.agg(F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()
+    total, full = got[0] or 0, got[1] or 0
+    if not total or not full or share <= 0:
+        return raked.withColumn("probability", F.lit(0.0))
+    want = min(share * total, full)
+    live = raked.where("tokens > 0 and weight > 0")
+    now = live.withColumn("p", F.col("weight") / F.col("tokens") * F.lit(float(want)))
+    for m, g in goals.items():  # what each value is to have: its target of `want`, or all its tokens
+        values = cut(live.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(g.select(m, F.col("target").alias("weight")), m))
+        value = calibrate(values, want / full)
+        now = now.join(value.select(m, (F.col("tokens") * F.col("probability")).alias(f"goal_{m}")), m)
+    now = cut(now)
+    for _ in range(rounds):
+        off = F.lit(0.0)
+        for m in goals:
+            one = Window.partitionBy(m)
+            up = one.orderBy("p", *CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            now = now.withColumns({
+                "held": F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one),
+                "factor": (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up),
+            })
+            now = now.withColumns({"off": F.greatest(off, F.abs(F.col("held") / F.col(f"goal_{m}") - 1)), "p": F.col("p") * F.max("factor").over(one)}).drop("held", "factor")
+            off = F.col("off")
+        now = cut(now)
+        error = now.agg(F.max("off")).first()[0] or 0.0
+        now = now.drop("off")
+        if error <= fit:
+            break
+    drawn = now.select(*CELL, F.least(F.lit(1.0), "p").alias("probability"))
+    return raked.join(drawn, list(CELL), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+
+
+def margins(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """margin, value, target, expected, largest_share for each value of the margins, of cells with tokens and probability.
+
+    target and expected are shares of the sample's tokens, a null value is NONE; largest_share is the share of all tokens
+    beyond which the value has too few for its target, null where nothing is asked.
+    """
+    r = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    total, drawn = float(r[0] or 1), float(r[1] or 1)
+    tables = []
+    for m, g in goals.items():
+        held = cells.groupBy(m).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("held"))
+        t = held.join(g, m, "full").select(F.lit(m).alias("margin"), F.col(m).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("held", F.lit(0.0)).alias("held"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+        tables.append(t.select("margin", "value", "target", (F.col("held") / F.lit(drawn)).alias("expected"), F.when(F.col("target") > 0, F.col("tokens") / F.lit(total) / F.col("target")).alias("largest_share")))
+    return cut(reduce(DataFrame.union, tables))
+
+
+def mix_with_margins(docs: DataFrame, *, share: float = 0.7, flatten: dict[str, float] | None = None, topic: Column | None = None, goals: dict[str, DataFrame] | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """The documents as `mix` gives them, and the table of `margins` that tells which targets the sample holds."""
     flatten = {"source": 0.5, "lang": 0.6, "topic": 0.8} | (flatten or {})
-    added = ("n_tokens", "weight", "probability", "selected")
+    added = ("n_tokens", "weight", "probability", "missed", "selected")
     kept = [c for c in docs.columns if c not in added and c != "topic"]
     tokens = n_tokens(F.col("text"))
     topic = topic if topic is not None else form(F.col("text"), F.col("n_tokens"))
     rows = docs.select(*kept).withColumn("n_tokens", tokens).withColumn("topic", topic)
-    own = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in ("source", "lang", "topic")}
+    own = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in CELL}
     cells = cut(rows.select("n_tokens", *[c.alias(m) for m, c in own.items()]).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     goals = goals or {m: targets(cells, m, f) for m, f in flatten.items()}
     raked, _ = rake(cells, goals)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    drawn = cut(calibrate(raked, share)).select(
-        *[F.col(m).alias(f"__{m}") for m in own], F.when(F.col("tokens") > 0, F.col("weight") / (F.col("tokens") / F.lit(float(total)))).otherwise(0.0).alias("weight"), "probability"
-    )
+    chosen = cut(bound(raked, goals, share))
+    held = margins(chosen, goals)
+    drawn, off = chosen, F.lit(0.0)
+    for m in goals:
+        miss = F.when(F.col("target") > 0, F.abs(F.col("expected") / F.col("target") - 1)).otherwise(0.0)
+        drawn = drawn.join(held.where(F.col("margin") == m).select(F.col("value").alias(m), miss.alias(f"miss_{m}")), m, "left")
+        off = F.greatest(off, F.coalesce(f"miss_{m}", F.lit(0.0)))
+    drawn = cut(drawn.select(
+        *[F.col(m).alias(f"__{m}") for m in own], F.when(F.col("tokens") > 0, F.col("weight") / (F.col("tokens") / F.lit(float(total)))).otherwise(0.0).alias("weight"), "probability", off.alias("missed")
+    ))
     rows = rows.withColumns({f"__{m}": c for m, c in own.items()})
     out = rows.join(drawn, [f"__{m}" for m in own], "left").drop(*[f"__{m}" for m in own])
-    return out.withColumn("selected", F.coalesce(uniform(F.col("doc_id"), seed=seed) < F.col("probability"), F.lit(False)))
+    return out.withColumn("selected", F.coalesce(uniform(F.col("doc_id"), seed=seed) < F.col("probability"), F.lit(False))), held
+
+
+def mix(docs: DataFrame, *, share: float = 0.7, flatten: dict[str, float] | None = None, topic: Column | None = None, goals: dict[str, DataFrame] | None = None, seed: int = 11) -> DataFrame:
+    """All columns of docs and n_tokens, topic, weight (of the document's cell, as a multiple of its share), probability, missed, selected.
+
+    Margins are source, lang and topic; `flatten` gives each margin's power of its share as target, unless `goals` gives tables. A null
+    source, language or topic is a value of its own. Texts without tokens, null ones too, have probability 0. Rows that repeat
+    a doc_id are drawn together; a null doc_id draws by its null. Columns named like the added ones are replaced. missed is the largest
+    miss, |expected share / target - 1|, of the document's source, language and topic: over 0 where `share` asks for more than there is.
+    """
+    return mix_with_margins(docs, share=share, flatten=flatten, topic=topic, goals=goals, seed=seed)[0]
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "missed", "selected")

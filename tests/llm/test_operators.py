@@ -292,6 +292,34 @@ def test_mixing(spark, small):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_holds_margins_within_tokens(spark):
+    """A cell that its weight would draw more than once: bounded raking holds all margins; what tokens cannot give is told."""
+    rows = [(k, "w " * n, lang, source, 1) for k, (source, lang, n) in enumerate([("a", "x", 100), ("a", "y", 700), ("b", "x", 600), ("b", "y", 600)] * 5)]
+    docs = spark.createDataFrame(rows, DOC)
+    goal = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.4, "y": 0.6}}
+    goals = {m: spark.createDataFrame(list(g.items()), f"{m} string, target double") for m, g in goal.items()}
+
+    def held(share, goals):
+        out, table = mixing.mix_with_margins(docs, share=share, topic=F.lit("t"), goals=goals)
+        out = out.collect()
+        mass = sum(r["n_tokens"] * r["probability"] for r in out)
+        assert abs(mass - share * 10_000) < 1e-3 * 10_000 and all(0 <= r["probability"] <= 1 for r in out)
+        told = {(r["margin"], r["value"]): r for r in table.collect()}
+        for m in goals:
+            for v in {r[m] for r in out}:
+                assert abs(told[m, v]["expected"] - sum(r["n_tokens"] * r["probability"] for r in out if r[m] == v) / mass) < 1e-9
+        return out, told
+
+    # without bounds the cell (a, x), a twentieth of all tokens, would be asked for 0.75 * 0.093 of them
+    out, told = held(0.75, goals)
+    assert all(abs(told[m, v]["expected"] - t) < 1e-3 for m, g in goal.items() for v, t in g.items()) and max(r["missed"] for r in out) < 2e-3
+    assert [r["probability"] for r in out if (r["source"], r["lang"]) == ("a", "x")] == [1.0] * 5
+    # source a has 0.4 of the tokens: 0.5 of a sample of 0.9 is not there, and is told
+    out, told = held(0.9, goals)
+    assert abs(told["source", "a"]["expected"] - 0.4 / 0.9) < 1e-3 and told["source", "a"]["target"] == 0.5 and abs(told["source", "a"]["largest_share"] - 0.8) < 1e-9
+    assert all(r["probability"] == 1 and abs(r["missed"] - (1 - 0.8 / 0.9)) < 1e-3 for r in out if r["source"] == "a")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
