@@ -17,14 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, ship, table
 from .kernels import ALNUM, slices, words
 
-INDEX = "doc_ids binary, known binary, first binary, terms binary, counts binary, deltas binary"
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
+INDEX = "doc_ids binary, known binary, first binary, terms binary, counts binary, deltas binary, segment long"
+FOUND = "segment long, place int, doc_id long, n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
 
 
 def _segment(ids: pa.Array, known: np.ndarray, n: np.ndarray, h: np.ndarray) -> list[bytes]:
@@ -41,16 +42,23 @@ def _segment(ids: pa.Array, known: np.ndarray, n: np.ndarray, h: np.ndarray) ->
 
 
 def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
-    """The stored index of doc_id, text. A longer document has a segment of its own. Null texts have no words."""
+    """The stored index of doc_id, text. A longer document has a segment of its own. Null texts have no words.
+
+    A document is named by its segment's number and its place there, whatever its doc_id.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = made = 0
+        part = TaskContext.get().partitionId()
 
         def out():
+            nonlocal made
+            made += 1
             ids, known, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _segment(ids, known, n, h)], names=[x.split()[0] for x in INDEX.split(", ")])
+            number = pa.array([(part << 32) + made], pa.int64())
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in _segment(ids, known, n, h)], number], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for batch in batches:
             ids = batch.column(0)
@@ -180,7 +188,7 @@ def _windows(items: pa.Table, size: int) -> dict:
 
 
 def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: int = 2_000_000) -> DataFrame:
-    """For each indexed document: n_words, n_hit (words inside a match), items matched, and matched word ranges.
+    """For each indexed document: n_words, n_hit (words inside a match), items matched, and matched word ranges. Rows are judged each.
 
     Items (item_id, text) of fewer than `size` words, but not none, count as one window. Items without id or words take no part.
     Items are taken in blocks by hash of about block_words words, the bound of what is broadcast.
@@ -225,7 +233,7 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
                     for d, k in pair:
                         found[d].update(of[first_of[k] : first_of[k + 1], 1])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(seg.ids, mask=~seg.known), pa.array(np.diff(seg.first)), pa.array(hits[seg.first[1:]] - hits[seg.first[:-1]]),
+                        pa.array(np.full(n, row["segment"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.ids, mask=~seg.known), pa.array(np.diff(seg.first)), pa.array(hits[seg.first[1:]] - hits[seg.first[:-1]]),
                         pa.array([sorted({q["items"][i] for i in x}) for x in found], pa.list_(pa.string())), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
                     ], names=[x.split()[0] for x in FOUND.split(", ")])
 
@@ -234,9 +242,9 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
     if blocks > 1:
         ranges = F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))).alias("r")
         covered = F.expr("size(array_distinct(flatten(transform(r, x -> sequence(x.begins, x.ends - 1)))))")
-        out = (out.groupBy("doc_id", "n_words").agg(ranges, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = (out.groupBy("segment", "place", "doc_id", "n_words").agg(ranges, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
                .select("doc_id", "n_words", F.when(F.size("r") > 0, covered).otherwise(0).cast("long").alias("n_hit"), "items", F.col("r.begins").alias("begins"), F.col("r.ends").alias("ends")))
-    return out
+    return out.drop("segment", "place")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 8, least_items: int = 2) -> DataFrame:

@@ -131,6 +131,22 @@ def test_decontamination(spark, small):
     assert decontamination.decontaminate(frame(spark, rows), bench.limit(0)).where("n_items > 0").count() == 0
 
 
+def test_decontamination_judges_rows_each_in_blocks(spark):
+    """Items in many blocks: rows that repeat a doc_id or have none stay rows, as with one block."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(10))) for k in range(6)]
+    texts = [items[0][1], items[1][1], " ".join(f"c{j}" for j in range(10)), items[0][1]]
+    docs = spark.createDataFrame([(i, t) for i in (7, None) for t in texts] + [(8, f"{items[2][1]} {items[3][1]}"), (9, None), (9, None)], "doc_id long, text string")
+    index = decontamination.build_index(docs, segment_bytes=200)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(**how):
+        rows = decontamination.search(index, bench, **how).select("doc_id", "n_words", "n_hit", "items").collect()
+        return sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"])) for r in rows)
+
+    want = [(i, 10, n, x) for i in ("7", "None") for n, x in ((10, "0"), (10, "1"), (0, ""), (10, "0"))] + [("8", 20, 20, "2,3")] + [("9", 0, 0, "")] * 2
+    assert found() == found(block_words=10) == sorted(want)
+
+
 def test_near():
     from lumenweave.llm.kernels import ALNUM, slices, words
     import pyarrow as pa
