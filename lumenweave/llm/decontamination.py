@@ -6,7 +6,8 @@ documents; a segment is one row of Parquet of bounded size, built and read on it
 however common, is ever gathered across segments. `search` takes the test items' windows; in each
 segment it starts from the positions of a window's rarest term and intersects them with the other
 terms' lists, shifted by their offsets in the window, rarest next. What is left are exact phrase
-matches. `near` finds proximity matches by the same lists. Items are searched in blocks of bounded size.
+matches. `proximity` finds, by the same lists, where a window's words stand together in any order or with others
+between them. Items are searched in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import cut, ship, table
 from .kernels import ALNUM, slices, words
 
 INDEX = "doc_ids binary, known binary, first binary, terms binary, counts binary, deltas binary, segment long"
+CLOSE = "segment long, place int, doc_id long, item_id string, begins array<int>, ends array<int>"
 FOUND = "segment long, place int, doc_id long, n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
 
 
@@ -164,6 +166,27 @@ def near(seg: Segment, query: np.ndarray, within: int) -> np.ndarray:
     return p
 
 
+def spans(seg: Segment, query: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the ranges of at most `within` words of a document that have every word of the query and have no such range inside."""
+    tid = seg.term(np.unique(query))
+    anchor = near(seg, query, within - 1)
+    if len(anchor) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    own = [seg.pos[seg.at[t] : seg.at[t + 1]] for t in tid]
+    e = np.sort(np.concatenate(own))
+    k = np.searchsorted(anchor, e, "right") - 1
+    e = e[(k >= 0) & (e - anchor[np.maximum(k, 0)] < within)]  # a range that ends here has an anchor
+    b = e.copy()
+    for p in own:
+        k = np.searchsorted(p, e, "right") - 1
+        b = np.where(k >= 0, np.minimum(b, p[np.maximum(k, 0)]), -1)
+    ok = (b >= 0) & (e - b < within)
+    b, e = b[ok], e[ok]
+    ok = seg.doc(b) == seg.doc(e)
+    b, at = np.unique(b[ok], return_index=True)
+    return b, e[ok][at] + 1
+
+
 def _windows(items: pa.Table, size: int) -> dict:
     """Distinct windows of the items' words, and which items have them."""
     fps, owner, lens = [], [], []
@@ -247,6 +270,47 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
     return out.drop("segment", "place")
 
 
+def proximity(index: DataFrame, items: DataFrame, *, size: int = 5, within: int = 10, block_words: int = 2_000_000) -> DataFrame:
+    """segment, place (the document's row in the index), doc_id, item_id, begins, ends: word ranges in which an item's window is found close together.
+
+    A range has every distinct word of one of the item's windows of `size` words, in any order, within `within` words of one document,
+    and no smaller such range inside; an item's ranges in a document are distinct and sorted, and may overlap. Only documents with a
+    range have rows. A window with a word taken out is not found, a shorter window beside that word is. Items are taken as by `search`.
+    """
+    spark = index.sparkSession
+    ship(spark)
+    items = items.where("item_id is not null and text is not null").select("item_id", "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // (4 * block_words)))
+    out = None
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+        shared = spark.sparkContext.broadcast(_windows(own.toArrow().combine_chunks(), size))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            of = q["of"]
+            first_of = np.searchsorted(of[:, 0], np.arange(len(q["lens"]) + 1))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    seg = Segment(row)
+                    here = np.append(seg.term(q["terms"]), 0)  # the last stands for padding
+                    found: dict[tuple, set] = {}
+                    for w in np.flatnonzero((here[q["windows"]] >= 0).all(1)):
+                        first, end = spans(seg, q["terms"][q["windows"][w][: q["lens"][w]]], within)
+                        for d, x, y in zip(seg.doc(first).tolist(), first.tolist(), end.tolist(), strict=True):
+                            for i in of[first_of[w] : first_of[w + 1], 1].tolist():
+                                found.setdefault((d, q["items"][i]), set()).add((x - int(seg.first[d]), y - int(seg.first[d])))
+                    rows = [(row["segment"], d, int(seg.ids[d]) if seg.known[d] else None, i, sorted(r)) for (d, i), r in sorted(found.items())]
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+                    cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)] + [pa.array([[x[k] for x in r[4]] for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in CLOSE.split(", ")])
+
+        got = index.mapInArrow(run, CLOSE)
+        out = got if out is None else out.union(got)
+    return out
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 8, least_items: int = 2) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, begins, ends (word ranges of matches).
 

@@ -161,6 +161,33 @@ def test_near():
     assert sorted(seg.doc(decontamination.near(seg, q, 2)).tolist()) == [0, 2] and sorted(seg.doc(decontamination.near(seg, q, 1)).tolist()) == [2]
 
 
+@pytest.mark.parametrize("how", [{}, {"block_words": 4}])
+def test_proximity(spark, how):
+    """Against every range of every text; segments of few documents and blocks of few items change nothing."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 40))) for _ in range(30)] + [None, "p q x r s t u", "p q s t u"]
+    rows = [(k // 2 if k < 8 else None if k < 10 else k, t) for k, t in enumerate(texts)]
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 12, n))) for k, n in enumerate((0, 1, 2, 4, 5, 9))] + [(6, "p q r s t u"), (None, "w1"), (7, None)]
+    size, within = 4, 6
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        for k, text in items:
+            v = (text or "").split()
+            got = set()
+            for s in range(max(1, len(v) - size + 1)) if v and k is not None else ():
+                need = set(v[s : s + size])
+                fits = [(b, e) for b in range(len(w)) for e in range(b + 1, min(len(w), b + within) + 1) if need <= set(w[b:e])]
+                got |= {(b, e) for b, e in fits if not any((x, y) != (b, e) and b <= x and y <= e for x, y in fits)}
+            if got:
+                want.append((str(i), str(k), str(sorted(got))))
+    for segment_bytes in (60, 1 << 20):
+        index = decontamination.build_index(spark.createDataFrame(rows, "doc_id long, text string"), segment_bytes=segment_bytes)
+        got = decontamination.proximity(index, spark.createDataFrame(items, "item_id long, text string"), size=size, within=within, **how).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"], str(list(zip(r["begins"], r["ends"], strict=True)))) for r in got) == sorted(want)
+        assert len({(r["segment"], r["place"], r["item_id"]) for r in got}) == len(want) and any(r["item_id"] == "6" for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
