@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, table
 
-#: a list of which a level would need more bits is refused by `build`, and judged by a join instead
+#: a list of which a level would need more bits is refused by `build` with a ValueError, and so by `judge`
 MOST_BITS = 1 << 28
 
 
@@ -70,7 +70,7 @@ def build(listed: DataFrame, universe: DataFrame, *, first_bits: int = 10, bits:
     if n == 0:
         return Cascade([])
     if n * first_bits > MOST_BITS:
-        raise ValueError(f"{n} keys need a filter of over {MOST_BITS} bits; use a join for such a list")
+        raise ValueError(f"{n} keys need a filter of over {MOST_BITS} bits")
     levels = [bloom(listed, n, seed + 1, first_bits, hashes)]
     sides = [listed, cut(universe.where("key is not null").select("key").where(levels[0].says(F.col("key"))).distinct().join(listed, "key", "left_anti"))]
     while len(levels) < most_levels:
