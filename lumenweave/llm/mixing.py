@@ -2,7 +2,7 @@
 
 Documents are counted once into cells of (source, language, topic) with their tokens. The cells' weights
 are raked: scaled to the first margin's targets, then the second's, the third's, round after round, until
-each margin fits or `rounds` are over. Documents can be drawn once at most, so the weights are raked again
+each margin fits, or `rounds` are over and the error falls no more. Documents can be drawn once at most, so the weights are raked again
 with the cells' tokens as bounds: a cell is drawn with probability min(1, product of one factor for each
 margin), by a hash of doc_id, and the factors are found so that the expected tokens are the wanted share of
 all and every margin fits. A value whose target asks for more tokens than it has is drawn whole, and the
@@ -45,6 +45,7 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
 
     goals: for each margin column a table (margin, target). A value without target, or with target 0, gets weight 0; a
     target whose value has no cell cannot be met, and the others share its weight. Cells without tokens have weight 0.
+    After `rounds` it goes on while a round takes a hundredth or more off the error; goals that contradict each other end so.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
@@ -54,8 +55,8 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
         g = g.join(cells.where("tokens > 0").select(m).distinct(), m, "left_semi")
         s = g.agg(F.sum("target")).first()[0] or 1.0
         now = now.join(g.select(m, (F.col("target") / F.lit(s)).alias(f"goal_{m}")), m, "left")
-    now, error = cut(now), float("inf")
-    for _ in range(rounds):
+    now, error, done = cut(now), float("inf"), 0
+    while True:
         off = F.lit(0.0)
         for m in goals:
             held = now.groupBy(m).agg(F.sum("weight").alias("held"))
@@ -63,9 +64,9 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
             now = now.join(held, m).withColumns({"weight": F.col("weight") * ratio, "off": F.greatest(off, F.abs(ratio - 1))}).drop("held")
             off = F.col("off")
         now = cut(now)
-        error = now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0
+        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + 1
         now = now.drop("off")
-        if error <= fit:
+        if error <= fit or (done >= rounds and error > 0.99 * before):
             break
     return now.drop(*[f"goal_{m}" for m in goals]), float(error)
 
@@ -144,7 +145,7 @@ def margins(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
 
 
 def mix_with_margins(docs: DataFrame, *, share: float = 0.7, flatten: dict[str, float] | None = None, topic: Column | None = None, goals: dict[str, DataFrame] | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """The documents as `mix` gives them, and the table of `margins` that tells which targets the sample holds."""
+    """The documents as `mix` gives them, and the table of `margins` that tells which targets the sample holds, with rake's error as raking_error."""
     flatten = {"source": 0.5, "lang": 0.6, "topic": 0.8} | (flatten or {})
     added = ("n_tokens", "weight", "probability", "missed", "selected")
     kept = [c for c in docs.columns if c not in added and c != "topic"]
@@ -154,10 +155,10 @@ def mix_with_margins(docs: DataFrame, *, share: float = 0.7, flatten: dict[str,
     own = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in CELL}
     cells = cut(rows.select("n_tokens", *[c.alias(m) for m, c in own.items()]).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     goals = goals or {m: targets(cells, m, f) for m, f in flatten.items()}
-    raked, _ = rake(cells, goals)
+    raked, error = rake(cells, goals)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     chosen = cut(bound(raked, goals, share))
-    held = margins(chosen, goals)
+    held = margins(chosen, goals).withColumn("raking_error", F.lit(error))
     drawn, off = chosen, F.lit(0.0)
     for m in goals:
         miss = F.when(F.col("target") > 0, F.abs(F.col("expected") / F.col("target") - 1)).otherwise(0.0)

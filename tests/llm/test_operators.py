@@ -348,6 +348,7 @@ def test_mixing_holds_margins_within_tokens(spark):
         mass = sum(r["n_tokens"] * r["probability"] for r in out)
         assert abs(mass - share * 10_000) < 1e-3 * 10_000 and all(0 <= r["probability"] <= 1 for r in out)
         told = {(r["margin"], r["value"]): r for r in table.collect()}
+        assert all(0 <= r["raking_error"] <= 1e-3 for r in told.values())
         for m in goals:
             for v in {r[m] for r in out}:
                 assert abs(told[m, v]["expected"] - sum(r["n_tokens"] * r["probability"] for r in out if r[m] == v) / mass) < 1e-9
@@ -363,6 +364,14 @@ def test_mixing_holds_margins_within_tokens(spark):
     assert all(r["probability"] == 1 and abs(r["missed"] - (1 - 0.8 / 0.9)) < 1e-3 for r in out if r["source"] == "a")
 
 
+def test_raking_goes_on_while_the_error_falls(spark):
+    """Two rounds do not fit here; goals that contradict a source in one language only end, with their error."""
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("a", "y", "t", 30), ("b", "x", "t", 50), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    goals = {"source": spark.createDataFrame([("a", 0.6), ("b", 0.4)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, target double")}
+    assert mixing.rake(cells, goals, rounds=2, fit=1e-6)[1] <= 1e-6
+    assert mixing.rake(cells.where("not (source = 'a' and lang = 'y')"), goals, rounds=2, fit=1e-6)[1] > 0.1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
