@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,16 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one only where that is unset."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir. Where that is unset, a local master gets a new folder; on a cluster it is an error."""
     sc = spark.sparkContext
-    said = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if said:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(said)
-        return said.rstrip("/")
+    said = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not said:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        said = tempfile.mkdtemp(prefix="lumenweave-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenweave-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(said)
+    path = sc._jvm.org.apache.hadoop.fs.Path(said)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,14 +52,37 @@ def ship(spark: SparkSession) -> None:
     sc._lumenweave_shipped = True
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises df as Parquet in the shared folder and reads it back: what it cost is paid once and lineage ends."""
+    """Materialises df as Parquet in the shared folder and reads it back: what it cost is paid once and lineage ends. `sweep` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenweave-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Removes the folders that `cut` and the archive writer made, from the since-th on: for callers whose results are written elsewhere already."""
+    sc = spark.sparkContext
+    while len(_written) > since:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """How many folders have been made so far, for `sweep`."""
+    return len(_written)
+
+
+def made(path: str) -> str:
+    """Notes a folder of the shared one for `sweep`."""
+    _written.append(path)
+    return path
+
+
 def trim() -> None:
     """Gives memory that Python no longer uses back to the system, where the C library can."""
     gc.collect()
@@ -80,16 +106,32 @@ def uniform(*cols: Column, seed: int = 0) -> Column:
     return (h.cast("double") + 0.5) / float(1 << 53)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def heavy_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, most: int = 200) -> DataFrame:
+    """rows joined with groups, which has one row for each key and its count in column `n` (left out of the result).
+
+    Keys with a most-th of all counted rows or more, which are `most` at most, are broadcast, so their rows stay where they are; all other
+    keys go through a shuffle in which none has more than that share. Keys are not null.
+    """
+    total, top = groups.agg(F.sum(n), F.max(n)).first()
+    if total is None or top * most < total:
+        return rows.join(groups.drop(n), on)
+    heavy = F.broadcast(groups.where(F.col(n) * most >= total).drop(n))  # at most `most` rows
+    near = rows.join(heavy, on)
+    far = rows.join(heavy.select(*on), on, "left_anti").join(groups.where(F.col(n) * most < total).drop(n), on)
+    return near.union(far.select(*near.columns))
+
+
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) for each id in a link, component being the least id.
 
-    Alternates large-star and small-star steps, each a groupBy and a join; hub nodes are handled
-    by partial aggregation and skew joins, nothing is collected, and each round's edges are cut to the shared folder.
+    Alternates large-star and small-star steps, each a groupBy and a join, until no edge changes; the number of rounds grows with the
+    logarithm of the links. Hub nodes are handled by partial aggregation and joins against one row a node; nothing is
+    collected, and each round's edges are cut to the shared folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour of u is tied to u's least neighbour

@@ -19,18 +19,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import without
 from .common import cut, ship, table
 from .kernels import ALNUM, slices, words
 
-INDEX = "doc_ids binary, known binary, first binary, terms binary, counts binary, deltas binary, segment long"
+INDEX = "doc_ids binary, known binary, names binary, first binary, terms binary, counts binary, deltas binary, segment long"
 CLOSE = "segment long, place int, doc_id long, item_id string, begins array<int>, ends array<int>"
-FOUND = "segment long, place int, doc_id long, n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
+FOUND = "segment long, place int, doc_id long, name1 long, name2 long, n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
 
 
-def _segment(ids: pa.Array, known: np.ndarray, n: np.ndarray, h: np.ndarray) -> list[bytes]:
+def _segment(ids: np.ndarray, known: np.ndarray, names: np.ndarray, n: np.ndarray, h: np.ndarray) -> list[bytes]:
     """One row of the index: documents, their first positions, terms, and delta-coded positions by term."""
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -40,13 +41,13 @@ def _segment(ids: pa.Array, known: np.ndarray, n: np.ndarray, h: np.ndarray) ->
     d = np.diff(order, prepend=0)
     d[at] = order[at]
     counts = np.diff(np.append(at, len(s)))
-    return [x.tobytes() for x in (ids, known, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), s[at], counts.astype(np.int32), d.astype(np.int32))]
+    return [x.tobytes() for x in (ids, known, names, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), s[at], counts.astype(np.int32), d.astype(np.int32))]
 
 
 def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
     """The stored index of doc_id, text. A longer document has a segment of its own. Null texts have no words.
 
-    A document is named by its segment's number and its place there, whatever its doc_id.
+    A document is named by its segment's number and its place there, whatever its doc_id; two fingerprints of its text go along.
     """
     ship(docs.sparkSession)
 
@@ -58,9 +59,9 @@ def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
         def out():
             nonlocal made
             made += 1
-            ids, known, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, known, names, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
             number = pa.array([(part << 32) + made], pa.int64())
-            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in _segment(ids, known, n, h)], number], names=[x.split()[0] for x in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in _segment(ids, known, names, n, h)], number], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for batch in batches:
             ids = batch.column(0)
@@ -70,12 +71,16 @@ def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
                 if held and size + len(buf) > segment_bytes:
                     yield out()
                     held, size = [], 0
-                held.append((got.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), got.is_valid().to_numpy(zero_copy_only=False), np.bincount(doc, minlength=len(offs) - 1), h))
+                held.append((got.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), got.is_valid().to_numpy(zero_copy_only=False), np.column_stack([c[rows].to_numpy() for c in batch.columns[2:]]), np.bincount(doc, minlength=len(offs) - 1), h))
                 size += len(buf)
         if held:
             yield out()
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, INDEX))
+    return cut(docs.select("doc_id", "text", *[c.alias(f"name{k}") for k, c in enumerate(_names(F.col("text")), 1)]).mapInArrow(run, INDEX))
+
+
+def _names(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
 class Segment:
@@ -83,6 +88,7 @@ class Segment:
 
     def __init__(self, row: dict):
         self.ids, self.known, self.first = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["first"], np.int64)
+        self.names = np.frombuffer(row["names"], np.int64).reshape(-1, 2)
         self.terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32).astype(np.int64)
         d = np.frombuffer(row["deltas"], np.int32).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(counts)])
@@ -193,25 +199,26 @@ def _windows(items: pa.Table, size: int) -> dict:
     for rows, buf, offs in slices(items["item_id"], items["text"]):
         doc, _, _, h = words(buf, offs, ALNUM)
         n = np.bincount(doc, minlength=len(offs) - 1)
-        first = np.concatenate([[0], np.cumsum(n)])
-        for d in range(len(offs) - 1):
-            m = min(size, n[d])
-            for s in range(first[d], first[d + 1] - m + 1) if m else ():
-                fps.append(np.pad(h[s : s + m], (0, size - m)))
-                owner.append(rows.start + d)
-                lens.append(m)
-    if not fps:
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        full = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :]) if len(h) >= size else np.empty(0, np.int64)
+        few = np.flatnonzero((n > 0) & (n < size))
+        at = np.append(full, first[few])[:, None] + np.arange(size)
+        own = np.append(np.full(len(full), size), n[few])
+        fps.append(np.where(np.arange(size) < own[:, None], h[np.minimum(at, max(len(h) - 1, 0))] if len(h) else np.uint64(0), np.uint64(0)))
+        owner.append(rows.start + np.append(doc[full], few))
+        lens.append(own)
+    if not sum(map(len, lens)):
         return {"terms": np.empty(0, np.uint64), "windows": np.empty((0, size), np.int64), "lens": np.empty(0, np.int64), "of": np.empty((0, 2), np.int64), "items": []}
-    rows = np.column_stack([np.array(fps), np.array(lens, np.uint64)])
+    rows = np.column_stack([np.concatenate(fps), np.concatenate(lens).astype(np.uint64)])
     rows, inv = np.unique(rows, axis=0, return_inverse=True)
     lens = rows[:, -1].astype(np.int64)
     used = np.arange(size) < lens[:, None]
     terms = np.unique(rows[:, :-1][used])
-    return {"terms": terms, "windows": np.where(used, np.searchsorted(terms, rows[:, :-1]), -1), "lens": lens, "of": np.unique(np.column_stack([inv.reshape(-1), np.array(owner)]), axis=0), "items": pc.cast(items["item_id"], pa.string()).to_pylist()}
+    return {"terms": terms, "windows": np.where(used, np.searchsorted(terms, rows[:, :-1]), -1), "lens": lens, "of": np.unique(np.column_stack([inv.reshape(-1), np.concatenate(owner)]), axis=0), "items": pc.cast(items["item_id"], pa.string()).to_pylist()}
 
 
-def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: int = 2_000_000) -> DataFrame:
-    """For each indexed document: n_words, n_hit (words inside a match), items matched, and matched word ranges. Rows are judged each.
+def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: int = 500_000) -> DataFrame:
+    """For each indexed document: doc_id, name1 and name2 (fingerprints of its text), n_words, n_hit (words inside a match), items matched, and matched word ranges.
 
     Items (item_id, text) of fewer than `size` words, but not none, count as one window. Items without id or words take no part.
     Items are taken in blocks by hash of about block_words words, the bound of what is broadcast.
@@ -256,7 +263,7 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
                     for d, k in pair:
                         found[d].update(of[first_of[k] : first_of[k + 1], 1])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, row["segment"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.ids, mask=~seg.known), pa.array(np.diff(seg.first)), pa.array(hits[seg.first[1:]] - hits[seg.first[:-1]]),
+                        pa.array(np.full(n, row["segment"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.ids, mask=~seg.known), pa.array(seg.names[:, 0]), pa.array(seg.names[:, 1]), pa.array(np.diff(seg.first)), pa.array(hits[seg.first[1:]] - hits[seg.first[:-1]]),
                         pa.array([sorted({q["items"][i] for i in x}) for x in found], pa.list_(pa.string())), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
                     ], names=[x.split()[0] for x in FOUND.split(", ")])
 
@@ -265,12 +272,12 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
     if blocks > 1:
         ranges = F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))).alias("r")
         covered = F.expr("size(array_distinct(flatten(transform(r, x -> sequence(x.begins, x.ends - 1)))))")
-        out = (out.groupBy("segment", "place", "doc_id", "n_words").agg(ranges, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-               .select("doc_id", "n_words", F.when(F.size("r") > 0, covered).otherwise(0).cast("long").alias("n_hit"), "items", F.col("r.begins").alias("begins"), F.col("r.ends").alias("ends")))
+        out = (out.groupBy("segment", "place", "doc_id", "name1", "name2", "n_words").agg(ranges, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+               .select("doc_id", "name1", "name2", "n_words", F.when(F.size("r") > 0, covered).otherwise(0).cast("long").alias("n_hit"), "items", F.col("r.begins").alias("begins"), F.col("r.ends").alias("ends")))
     return out.drop("segment", "place")
 
 
-def proximity(index: DataFrame, items: DataFrame, *, size: int = 5, within: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def proximity(index: DataFrame, items: DataFrame, *, size: int = 5, within: int = 10, block_words: int = 500_000) -> DataFrame:
     """segment, place (the document's row in the index), doc_id, item_id, begins, ends: word ranges in which an item's window is found close together.
 
     A range has every distinct word of one of the item's windows of `size` words, in any order, within `within` words of one document,
@@ -314,13 +321,22 @@ def proximity(index: DataFrame, items: DataFrame, *, size: int = 5, within: int
 def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 8, least_items: int = 2) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, begins, ends (word ranges of matches).
 
-    Null and empty texts have no words and are clean. Repeated rows are judged each. Extra columns are ignored.
+    Null and empty texts have no words and are clean. Repeated rows and rows without doc_id are judged each, by their place in the index, however
+    many blocks the items take. A text longer than a segment is a segment of its own, searched whole. Extra columns are ignored, whatever
+    their names. Without documents there are no rows, without items all are clean.
     """
     got = search(build_index(docs), items, size=size)
     n = F.size("items").cast("long")
     return got.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), "items", "begins", "ends")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = 8) -> DataFrame:
+    """The rows of docs, all columns, in whose text no window of any item occurs. A text decides for every row that has it, with or without doc_id."""
+    found = search(build_index(docs), items, size=size).where("n_hit > 0").select(F.col("name1").alias("__name1"), F.col("name2").alias("__name2"))
+    named = docs.withColumns({f"__name{k}": c for k, c in enumerate(_names(F.col("text")), 1)})
+    return without(named, found, ["__name1", "__name2"]).select(*docs.columns)
+
+
 def brute_force(docs: list[tuple], items: list[tuple], size: int = 8) -> dict:
     """What op4 returns for small lists, straight from the definition."""
     import re

@@ -1,18 +1,23 @@
 """Set-similarity join of documents on word shingles, by rare-first prefix filtering.
 
-Every document is its set of distinct shingle fingerprints. A total order, rare shingles first, is
-fixed by counts over the whole corpus: shingles that many documents have are counted exactly where
-they recur within a task's share of documents, and those with the largest sums (a bounded list)
-come last, by count; all others come before them by fingerprint. Two sets with similarity t share
+Every document is its set of distinct shingle fingerprints; equal sets are one node of the link graph. A total
+order, rare shingles first, is fixed by counts over the whole corpus: shingles that many documents have are
+counted exactly where they recur within a task's share of documents, and those with the largest sums (a bounded
+list) come last, by count; all others come before them by fingerprint. Two sets with similarity t share
 one of the first n - ceil(t n) + 1 shingles of each; these prefixes are joined, under the length
-filter and the positional filter, and each surviving pair is verified once, after filters on the whole sets: bit sketches kept for every
-document, and the suffix filter on counts by range.
+filter and the positional filter, and each surviving pair is verified once, after filters on the whole sets: bit
+sketches kept for every node, and the suffix filter on counts by range.
 
 The join is dealt by ranges of fingerprints, packed as binary blocks. Shingles of the frequent list
 and buckets over `most_pairs` documents are not paired off: their members are first tied to one
-pivot each, connected components are formed, and only then are pairs across components tried
-(each member against those outside the bucket's largest component). So a group of copies costs
-links in proportion to its size, and no link between components is lost. Equal sets are one node.
+pivot for each band of set sizes, connected components are formed, and only then are pairs across components
+tried, within neighbouring bands. Of these, a member is not tried against those that are verified close to a pivot when its
+sketch shows it to be too far from that pivot (Jaccard distance obeys the triangle inequality). So a group of copies costs
+links in proportion to its size, and no link between components is lost. What can still grow with the square of
+a bucket are documents that share a frequent rare-first shingle, have sets of like size, and are similar neither to
+each other nor to their pivot.
+
+Pairs are verified in blocks of bounded size, to which each set is sent once for a block.
 """
 
 from __future__ import annotations
@@ -21,30 +26,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, table
-from .url_filter import bloom
+from .bloom import bloom, without
+from .common import components, cut, heavy_join, ship, table
 from .kernels import SPACED, mix, runs, slices, words
 
 _U = np.uint64
+NAME = ["n", "f1", "f2"]  # a set's size and two fingerprints name it
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
-    """(ids of a slice, row in it, sorted distinct shingles) for each text."""
-    ids = batch.column(0)
-    for rows, buf, offs in slices(ids, batch.column(1), 1 << 20):
+def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingles) for each text."""
+    for rows, buf, offs in slices([], texts, 1 << 20):
         n = len(offs) - 1
         doc, _, _, h = words(buf, offs, SPACED)
         who, _, fp = runs(doc, h, size, n)
         at = np.searchsorted(who, np.arange(n + 1))
-        own = ids[rows].to_pylist()
         for d in range(n):
             s = np.sort(fp[at[d] : at[d + 1]])
             if len(s) > 1:
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield own[d], s
+            yield rows.start + d, s
 
 
 def _name(s: np.ndarray) -> tuple[int, int]:
@@ -67,10 +71,11 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _describe(size: int, flush: int = 1 << 21, least: int = 4):
-    """Pass 1: a row (0, doc_id, n, f1, f2) for each document; a row (1, null, count, shingle) for each shingle that recurs here."""
+    """Pass 1: a row (0, doc_id, t, n, f1, f2, bits) for each document, t being a fingerprint of its text, bits null where the task has seen the set
+    before; a row (1, null, null, count, shingle) for each shingle that recurs here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "f1", "f2", "bits"]
+        names = ["kind", "doc_id", "t", "n", "f1", "f2", "bits"]
         held: list[np.ndarray] = []
         total, seen = 0, set()
 
@@ -78,39 +83,40 @@ def _describe(size: int, flush: int = 1 << 21, least: int = 4):
             k, c = np.unique(np.concatenate(held), return_counts=True)
             k, c = k[c >= least], c[c >= least]
             z = pa.nulls(len(k), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), z, pa.array(c.astype(np.int64)), pa.array(_signed(k)), z, pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), z, z, pa.array(c.astype(np.int64)), pa.array(_signed(k)), z, pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
 
         for batch in batches:
-            ids, ns, f1, f2, bits = [], [], [], [], []
-            for i, s in _sets(batch, size):
+            ns, f1, f2, bits = [], [], [], []
+            for _, s in _sets(batch.column(2), size):
                 a, b = _name(s)
-                ids.append(i)
                 ns.append(len(s))
                 f1.append(a)
                 f2.append(b)
-                bits.append(_sketch(s))
                 if len(s) and (len(s), a) not in seen:
                     seen.add((len(s), a))
                     held.append(s)
                     total += len(s)
+                    bits.append(_sketch(s))
+                else:
+                    bits.append(None)
                 if total >= flush:
                     yield often()
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=names)
         if held:
             yield often()
 
-    return run, "kind int, doc_id long, n long, f1 long, f2 long, bits array<long>"
+    return run, "kind int, doc_id long, t long, n long, f1 long, f2 long, bits array<long>"
 
 
-PACKED = "rng int, docs binary, ns binary, names binary, counts binary, shingles binary, places binary"
+PACKED = "rng int, ns binary, names binary, counts binary, shingles binary, places binary"
 
 
 def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_count: np.ndarray, flush: int = 1 << 20):
     """Pass 2: the prefix entries of each distinct set of a task, packed by range of fingerprints; those of frequent shingles in the negative ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[tuple[int, int, int]] = []
+        own: list[tuple[int, int, int]] = []
         kept: list[np.ndarray] = []
         lens: list[int] = []
         flags: list[np.ndarray] = []
@@ -121,28 +127,28 @@ def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_co
             is_hot = np.concatenate(flags)
             who = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            # a frequent shingle's entries are dealt by document, so that none meet in one task
-            d = np.array(docs, np.int64).reshape(-1, 3)
+            d = np.array(own, np.int64).reshape(-1, 3)
+            # a frequent shingle's entries are dealt by set, so that none meet in one task
             rng = (h >> _U(40)).astype(np.int64) % parts
-            rng = np.where(is_hot, -1 - (mix(d[who, 0].view(_U)) >> _U(40)).astype(np.int64) % parts, rng)
+            rng = np.where(is_hot, -1 - (mix(d[who, 1].view(_U)) >> _U(40)).astype(np.int64) % parts, rng)
             order = np.argsort(rng, kind="stable")
             r = rng[order]
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for a, z in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]])), strict=True):
                 o = order[a:z]
                 w, c = np.unique(who[o], return_counts=True)
-                for col, v in zip(cols, (int(r[a]), d[w, 0].tobytes(), d[w, 1].astype(np.int32).tobytes(), d[w, 2].tobytes(), c.astype(np.int32).tobytes(), h[o].tobytes(), place[o].astype(np.int32).tobytes()), strict=True):
+                for col, v in zip(cols, (int(r[a]), d[w, 0].astype(np.int32).tobytes(), d[w, 1:].tobytes(), c.astype(np.int32).tobytes(), h[o].tobytes(), place[o].astype(np.int32).tobytes()), strict=True):
                     col.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in PACKED.split(", ")])
 
         for batch in batches:
-            for i, s in _sets(batch, size):
-                if len(s) == 0 or i is None:
+            for _, s in _sets(batch.column(0), size):
+                if len(s) == 0:
                     continue
-                f1, _ = _name(s)
-                if (len(s), f1) in seen:
+                name = (len(s), *_name(s))
+                if name in seen:
                     continue
-                seen.add((len(s), f1))
+                seen.add(name)
                 n = len(s)
                 take = n - (num * n + den - 1) // den + 1
                 if len(hot):
@@ -152,21 +158,21 @@ def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_co
                     s, c = s[o], c[o]
                 else:
                     s, c = s[:take], np.zeros(take)
-                docs.append((i, n, f1))
+                own.append(name)
                 kept.append(s)
                 lens.append(len(s))
                 flags.append(c > 0)
                 total += len(s)
                 if total >= flush:
                     yield out()
-                    docs, kept, lens, flags, total = [], [], [], [], 0
+                    own, kept, lens, flags, total = [], [], [], [], 0
         if kept:
             yield out()
 
     return run
 
 
-FOUND = "kind int, a long, b long, n int, place int"
+FOUND = "kind int, h long, n int, f1 long, f2 long, place int, nb int, f1b long, f2b long"
 
 
 def _within(na, nb, num: int, den: int):
@@ -180,25 +186,24 @@ def _positional(na, nb, pa_, pb, num: int, den: int):
 
 
 def _pair(num: int, den: int, most_pairs: int):
-    """Joins one range: pairs (0, a, b) of small buckets, members (1, shingle, doc, n, place) of large ones and of frequent shingles."""
+    """Joins one range: pairs of sets' names (0, _, a, _, b) of small buckets, members (1, shingle, a, place) of large ones and of frequent shingles."""
 
     def run(key: tuple, table_: pa.Table) -> pa.Table:
         t = table_.combine_chunks()
         cat = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t[c].to_pylist()])
-        docs, ns, names, counts = cat("docs", np.int64), cat("ns", np.int32).astype(np.int64), cat("names", np.int64), cat("counts", np.int32)
-        h, place = cat("shingles", _U), cat("places", np.int32).astype(np.int64)
-        who = np.repeat(np.arange(len(docs)), counts)
-        if key[0].as_py() < 0:
-            member, pairs = np.arange(len(h)), np.empty((0, 2), np.int64)
-        else:
-            order = np.lexsort((docs[who], h))
-            h, place, who = h[order], place[order], who[order]
-            # copies of a set that come from different tasks: the first stands for all
-            o = np.lexsort((docs[who], names[who], ns[who], h))
-            k = np.stack([h[o], names[who[o]].view(_U), ns[who[o]].view(_U)])
-            again = np.zeros(len(h), bool)
-            again[o[1:]] = (k[:, 1:] == k[:, :-1]).all(0)
-            h, place, who = h[~again], place[~again], who[~again]
+        named = np.column_stack([cat("ns", np.int32).astype(np.int64), cat("names", np.int64).reshape(-1, 2)])
+        counts, h, place = cat("counts", np.int32), cat("shingles", _U), cat("places", np.int32).astype(np.int64)
+        # copies of a set that come from different tasks are one
+        named, back = np.unique(named, axis=0, return_inverse=True)
+        who = np.repeat(back.reshape(-1), counts)
+        order = np.lexsort((who, h))
+        h, place, who = h[order], place[order], who[order]
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (who[1:] == who[:-1])
+        h, place, who, ns = h[~again], place[~again], who[~again], named[:, 0]
+        pairs = np.empty((0, 2), np.int64)
+        member = np.arange(len(h))
+        if key[0].as_py() >= 0:
             edge = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             n_in = np.diff(edge)
             of = np.repeat(n_in, n_in)
@@ -215,147 +220,206 @@ def _pair(num: int, den: int, most_pairs: int):
                 x, y = w_s[i], w_s[i + d]
                 na, nb = ns[x], ns[y]
                 ok = _within(na, nb, num, den) & _positional(na, nb, p_s[i], p_s[i + d], num, den)
-                got.append(np.column_stack([docs[x[ok]], docs[y[ok]]]))
-            pairs = np.unique(np.concatenate(got), axis=0) if got else np.empty((0, 2), np.int64)
-        m = len(member)
+                got.append(np.column_stack([x[ok], y[ok]]))
+            pairs = np.unique(np.concatenate(got), axis=0) if got else pairs
+        m, k = len(member), len(pairs)
+        a = named[np.concatenate([pairs[:, 0], who[member]])]
+        none = pa.nulls(m, pa.int64())
+        b = named[pairs[:, 1]]
+        joined = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), y.cast(kind) if isinstance(y, pa.Array) else pa.array(y, kind)])
         return pa.table({
-            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pairs), m])),
-            "a": pa.array(np.concatenate([pairs[:, 0], _signed(h[member])])),
-            "b": pa.array(np.concatenate([pairs[:, 1], docs[who[member]]])),
-            "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), ns[who[member]].astype(np.int32)])),
-            "place": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), place[member].astype(np.int32)])),
+            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [k, m])),
+            "h": joined(np.zeros(k, np.int64), _signed(h[member]), pa.int64()),
+            "n": pa.array(a[:, 0].astype(np.int32)), "f1": pa.array(a[:, 1]), "f2": pa.array(a[:, 2]),
+            "place": joined(np.zeros(k, np.int32), place[member].astype(np.int32), pa.int32()),
+            "nb": joined(b[:, 0].astype(np.int32), none, pa.int32()), "f1b": joined(b[:, 1], none, pa.int64()), "f2b": joined(b[:, 2], none, pa.int64()),
         })
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Keeps the pairs whose sets are similar enough: suffix filter on counts by range of fingerprints, then the exact overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            cache: dict[int, np.ndarray] = {}
-            cuts = (np.arange(1, 16, dtype=_U) << _U(60)).astype(_U)
-            a_col, sa, sb = batch.column(0), batch.column(2), batch.column(3)
-            for r in range(batch.num_rows):
-                key = a_col[r].as_py()
-                if key not in cache:
-                    cache = {key: np.frombuffer(sa[r].as_buffer(), _U)}
-                x, y = cache[key], np.frombuffer(sb[r].as_buffer(), _U)
-                need = -(-num * (len(x) + len(y)) // (num + den))
-                # texts differ in at least the sum over ranges of the difference of counts
-                apart = np.abs(np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))).sum()
-                if apart > len(x) + len(y) - 2 * need:
-                    continue
-                if len(x) > len(y):
-                    x, y = y, x
-                k = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok[r] = int((y[k] == x).sum()) >= need
-            yield batch.select([0, 1]).filter(pa.array(ok))
+    """Of a block's pairs (block, a, b) and sets (block, node, s): the pairs similar enough, by the suffix filter on counts by range of fingerprints, then the exact overlap."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        have = {k: np.frombuffer(v, _U) for k, v in zip(sets["node"].to_pylist(), sets["s"].to_pylist(), strict=True)}
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        ok = np.zeros(len(a), bool)
+        cuts = (np.arange(1, 16, dtype=_U) << _U(60)).astype(_U)
+        counts = {k: np.diff(np.searchsorted(v, cuts), prepend=0, append=len(v)) for k, v in have.items()}
+        for r in range(len(a)):
+            x, y = have[a[r]], have[b[r]]
+            need = -(-num * (len(x) + len(y)) // (num + den))
+            # sets differ in at least the sum over ranges of the difference of counts
+            if np.abs(counts[a[r]] - counts[b[r]]).sum() > len(x) + len(y) - 2 * need:
+                continue
+            if len(x) > len(y):
+                x, y = y, x
+            k = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            ok[r] = int((y[k] == x).sum()) >= need
+        return pairs.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
 def _shingle_sets(size: int):
+    """The distinct sets of a task, with their names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kinds = set(), (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*NAME, "s"])
         for batch in batches:
-            ids, sets = [], []
-            for i, s in _sets(batch, size):
-                ids.append(i)
-                sets.append(s.tobytes())
-                if len(ids) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
-                    ids, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
+            rows = []
+            for _, s in _sets(batch.column(0), size):
+                name = (len(s), *_name(s))
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    rows.append((*name, s.tobytes()))
+                if len(rows) == 256:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
 
     return run
 
 
-def _links(docs: DataFrame, about: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Verified pairs (a, b) of document ids: sketches first rule out most, then each pair's sets are made from the two whole texts."""
+def _apart(x: Column, y: Column) -> Column:
+    """In how many shingles two sets differ at least, by their sketches, where one is at most twice as long as the other; else 0."""
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+    both = F.when(F.size(x) == F.size(y), xor(x, y)).when(F.size(x) == 2 * F.size(y), xor(half(x), y)).when(F.size(y) == 2 * F.size(x), xor(x, half(y))).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(both, F.lit(0), lambda s, v: s + F.bit_count(v))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, num: int, den: int, block: int = 1 << 20) -> DataFrame:
+    """Verified pairs (a, b) of nodes: sketches first rule out most, then the sets of the rest are made from the whole texts, each set
+    is sent once to each block of pairs that needs it, and a block's pairs have sets of some `block` shingles together (or one pair's)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(about.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
-    x, y = F.col("bitsa"), F.col("bitsb")
-    both = F.when(F.size(x) == F.size(y), F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))).when(F.size(x) == 2 * F.size(y), F.zip_with(half(x), y, lambda u, v: u.bitwiseXOR(v)))
-    both = both.when(F.size(y) == 2 * F.size(x), F.zip_with(x, half(y), lambda u, v: u.bitwiseXOR(v))).otherwise(F.array().cast("array<long>"))
-    apart = F.aggregate(both, F.lit(0), lambda s, v: s + F.bit_count(v))
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    pairs = cut(pairs.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b").distinct())
-    if pairs.isEmpty():
-        return pairs
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    # texts that are in no pair are left out by a filter of bounded size before the join shuffles the rest
-    among = bloom(wanted.select(F.col("doc_id").alias("key")), wanted.count(), 77, 10, 4, 1 << 25)
-    texts = docs.where("text is not null").select("doc_id", "text").where(among.says(F.col("doc_id"))).join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_shingle_sets(size), "id long, s binary"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))
-
-
-def join(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_least: int = 64, hot_most: int = 200_000, most_pairs: int = 48, range_mb: int = 10) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
-
-    Documents are linked when their sets' similarity is num / den or more; component_id is the least
-    doc_id reachable. Null and empty texts have no shingles and are linked with nothing; rows without
-    doc_id have themselves (null) as component. Rows that repeat a doc_id count as one document
-    linked by whatever any of them links to. Other columns are ignored.
-    """
+    pairs = cut(pairs.where(_apart(F.col("bitsa"), F.col("bitsb")) <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb"))
+    per = cut(pairs.groupBy("a").agg(F.sum("nb").alias("w"), F.max("na").alias("n"), F.count("*").alias("m")))
+    weight = per.agg(F.sum(F.col("w") + F.col("n"))).first()[0] or 0
+    if not weight:
+        return pairs.select("a", "b")
+    blocks = int(weight // block) + 1
+    chunk = F.pmod(F.xxhash64("b"), F.floor(F.col("w") / block) + 1)
+    pairs = heavy_join(pairs, per.drop("n"), ["a"], "m").select(F.pmod(F.xxhash64("a", chunk), F.lit(blocks)).alias("block"), "a", "b")
+    pairs = cut(pairs)
+    wanted = cut(pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", F.col("b").alias("node"))).distinct())
+    ids = cut(wanted.select("node").distinct().join(nodes.select("node", "t", *NAME), "node"))
+    # texts that are in no pair are left out by a filter of bounded size, in the scan
+    among = bloom(ids.select(F.col("t").alias("key")), ids.count(), 77, 12, 4)
+    texts = docs.where("text is not null").select("text").where(among.says(F.xxhash64("text")))
+    sets = texts.mapInArrow(_shingle_sets(size), "n long, f1 long, f2 long, s binary").join(ids.select("node", *NAME), NAME).select("node", "s").dropDuplicates(["node"])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    sets = wanted.join(cut(sets), "node").repartition(parts, "block")
+    return cut(pairs.repartition(parts, "block").groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(_verify(num, den), "a long, b long"))
+
+
+def _rest(member: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs across components in the large buckets: each member against those outside the bucket's largest component, in its band of
+    sizes and the two next to it, under the length and positional filters, less what a pivot rules out."""
+    where = cut(member.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").select("h", "band", "node", "n", "place", F.coalesce("component", "node").alias("c")))
+    per = where.groupBy("h", "c").agg(F.count("*").alias("m"))
+    top = per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    mixed = cut(heavy_join(where, top, ["h"], "m"))
+    if mixed.isEmpty():
+        return mixed.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    hubs = hubs.select("h", "band", "p")
+    near = links.select("a", "b").union(links.select("b", "a")).select(F.col("a").alias("p"), F.col("b").alias("node")).withColumn("spoke", F.lit(True))
+    y = mixed.join(hubs, ["h", "band"], "left").join(near, ["p", "node"], "left").select("h", "band", "node", "n", "place", "c", "main", (F.coalesce("spoke", F.lit(False)) | (F.col("p") == F.col("node"))).alias("spoke"))
+    x = mixed.where("c <> main").select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "node", "n", "place", "c")
+    # a member too far from a band's pivot p is too far from all that are within reach of p: similarity to p under 2 t - 1 rules them out
+    bits = nodes.select("node", "bits")
+    x = x.join(hubs, ["h", "band"]).join(bits, "node").join(bits.select(F.col("node").alias("p"), F.col("bits").alias("pbits")), "p").join(nodes.select(F.col("node").alias("p"), F.col("n").alias("pn")), "p")
+    apart, both = _apart(F.col("bits"), F.col("pbits")), F.col("n") + F.col("pn")
+    far = den * (both - apart) < (2 * num - den) * (both + apart)
+    x = cut(x.select("h", "band", "node", "n", "place", "c", far.alias("far"))).alias("x")
+    y, s = cut(y).alias("y"), num + den
+    return x.join(
+        y,
+        (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~(F.col("x.far") & F.col("y.spoke"))
+        & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
+        & (s * (1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)) >= num * (F.col("x.n") + F.col("y.n"))),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def classes(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_least: int = 64, hot_most: int = 200_000, most_pairs: int = 48, range_mb: int = 10) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, t (fingerprint of the text), n_shingles, component_id, best (null, doc_id, t of the class's first row)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _describe(size)
-    seen = cut(docs.mapInArrow(run, schema))
-    about, sketches = seen.where("kind = 0").select("doc_id", "n", "f1", "f2"), seen.where("kind = 0").select("doc_id", "n", "bits")
+    seen = cut(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema))
+    about = seen.where("kind = 0").select("doc_id", "t", *NAME)
     common = seen.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("c")).where(F.col("c") >= hot_least).orderBy(F.desc("c"), "f1").limit(hot_most).toArrow()
     hot, hot_count = common["f1"].to_numpy().view(_U), common["c"].to_numpy()
     order = np.argsort(hot)
     total = about.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (den - num) / den * 16 / (range_mb << 20)) + 1)
+    session_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(session_parts, int(total * (den - num) / den * 16 / (range_mb << 20)) + 1)
     shared = spark.sparkContext.broadcast((hot[order], hot_count[order]))  # at most hot_most shingles
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefixes(size, num, den, parts, *shared.value)(batches)
 
-    found = cut(docs.mapInArrow(prefixes, PACKED).groupBy("rng").applyInArrow(_pair(num, den, most_pairs), FOUND))
-    # equal sets are one node, named by its least document
-    of = cut(about.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")).join(about.where("doc_id is not null"), ["n", "f1", "f2"]).select("doc_id", "rep").distinct())
-    same = of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    member = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), "n", "place")
-    member = cut(member.join(of.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id").groupBy("h", "rep", "n").agg(F.min("place").alias("place")))
-    pivot = member.groupBy("h").agg(F.min("rep").alias("p"), F.count("*").alias("m")).where("m > 1").select("h", "p")
-    star = member.join(pivot, "h").where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
-    lens = member.groupBy("rep").agg(F.min("n").alias("n"))
-    star = (star.join(lens.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(lens.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-            .where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b"))
-    to_rep = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    small = (found.where("kind = 0").select("a", "b").distinct().join(to_rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-             .join(to_rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    links = _links(docs, sketches, small.union(star), size, num, den)
-    comp = cut(components(links.union(same)))
-
-    # pairs across components in the large buckets: each member against those outside the bucket's largest component
-    where = cut(member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h", "rep", "n", "place", F.coalesce("component", "rep").alias("c")))
-    per = where.groupBy("h", "c").agg(F.count("*").alias("m"))
-    top = per.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1").select("h", "main")
-    mixed = cut(where.join(top, "h"))
-    x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
-    s = num + den
-    rest = x.join(
-        y,
-        (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-        & (s * (1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)) >= num * (F.col("x.n") + F.col("y.n"))),
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = _links(docs, sketches, rest, size, num, den)
-    if more.isEmpty():
-        last = comp
-    else:
-        last = components(links.union(same).union(more))
-    return about.join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = cut(docs.select("text").mapInArrow(prefixes, PACKED).repartition(parts, "rng").groupBy("rng").applyInArrow(_pair(num, den, most_pairs), FOUND))
+    # equal sets are one node; its number holds from here on, as it is written
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best")
+    sets = about.where("n > 0").groupBy(*NAME).agg(best, F.count("*").alias("m"))
+    sketches = seen.where("kind = 0 and bits is not null").groupBy(*NAME).agg(F.first("bits").alias("bits"), F.min("t").alias("t"))
+    nodes = cut(sets.join(sketches, NAME).withColumn("node", F.monotonically_increasing_id()))
+    number = nodes.select("node", *NAME)
+    small = found.where("kind = 0").select(*NAME, "nb", "f1b", "f2b").distinct().join(number.withColumnRenamed("node", "a"), NAME).select("a", F.col("nb").cast("long").alias("n"), F.col("f1b").alias("f1"), F.col("f2b").alias("f2"))
+    small = small.join(number.withColumnRenamed("node", "b"), NAME).select("a", "b")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
+    member = found.where("kind = 1").select("h", F.col("n").cast("long").alias("n"), "f1", "f2", "place").join(number, NAME).groupBy("h", "node", "n").agg(F.min("place").alias("place"))
+    member = cut(member.select("h", band, "node", "n", "place"))
+    hubs = cut(member.groupBy("h", "band").agg(F.min("node").alias("p"), F.count("*").alias("m")))
+    star = heavy_join(member, hubs, ["h", "band"], "m").where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    links = _links(docs, nodes, small.union(star), size, num, den)
+    comp = cut(components(links))
+    rest = _rest(member, nodes, links, comp, hubs, num, den)
+    more = _links(docs, nodes, rest, size, num, den)
+    if not more.isEmpty():
+        comp = cut(components(links.union(more)))
+    of = nodes.join(comp.withColumnRenamed("id", "node"), "node", "left").select(*NAME, "best", "m", F.coalesce("component", "node").alias("c"))
+    firsts = of.groupBy("c").agg(F.min("best").alias("first"), F.min("best.doc_id").alias("component_id"), F.count("*").alias("k"))
+    of = cut(heavy_join(of.drop("best"), firsts, ["c"], "k").select(*NAME, "m", "first", "component_id"))
+    linked = heavy_join(about.where("n > 0"), of, NAME, "m").select("doc_id", "t", "n", "component_id", "first")
+    alone = about.where("n = 0").select("doc_id", "t", "n", F.col("doc_id").alias("component_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t").alias("first"))
+    return linked.union(alone).withColumnsRenamed({"n": "n_shingles", "first": "best"})
+
+
+def join(docs: DataFrame, **how) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id. `how` is that of `classes`.
+
+    Documents are linked when their sets' similarity is num / den or more; component_id is the least doc_id reachable. Every row is a
+    document by its own text: rows that repeat a doc_id with other texts are linked each for itself, rows without doc_id link like others
+    and have the least doc_id of their component, null if it has none. Null and empty texts have no shingles and are linked with nothing.
+    Texts of any length are taken whole. Other columns, whatever their names, are ignored. An empty table gives no rows.
+    """
+    return classes(docs, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, that are alone or the first of their class: of the least doc_id, then of the least fingerprint of the text.
+
+    Rows without doc_id come last; of rows alike in doc_id and text, one stays. Rows without words are in no class and stay.
+    """
+    found = cut(classes(docs, **how).where("n_shingles > 0").select("doc_id", F.col("t").alias("__t"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t"))).alias("stays")))
+    rows = docs.withColumn("__t", F.xxhash64("text"))
+    on = ["doc_id", "__t"]
+    out = without(rows, found.where("not stays"), on)
+    twice = cut(found.where("stays").groupBy(*on).agg(F.count("*").alias("m")).where("m > 1").select(F.xxhash64(*on).alias("key")))
+    if not twice.isEmpty():
+        again = F.col("text").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]") & bloom(twice, twice.count(), 41, 12, 4).says(F.xxhash64(*on))
+        again = F.coalesce(again, F.lit(False))
+        out = out.where(~again).union(out.where(again).dropDuplicates(on))
+    return out.select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], size: int = 5) -> dict:

@@ -6,6 +6,7 @@ has (escape method C: a context with n symbols, d of them distinct, gives a symb
 and the escape d / (n + d)); each escape adds its own cost and goes to the next shorter context, in
 the end to a uniform code. A text's code length under a language is the exact sum over its bytes;
 the shortest wins, and the score is its share of the probability 2^-length over all languages.
+Contexts that occur fewer than four times in all languages together have no node of their own: their bytes are coded in the next shorter one.
 The trees are merged into one whose nodes hold the costs for all languages, so a text is read once.
 """
 
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, ship, table
+from .common import cut, fold, ship, table
 from .kernels import slices
 
 _SIMPLE = np.arange(256, dtype=np.uint8)
@@ -117,18 +118,31 @@ def code_lengths(trees: Trees, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, *, folds: int = 4, held: int = 2, most_docs: int = 4000, most_per_lang: int = 400, max_train_chars: int = 200_000, **how) -> Trees | None:
-    """Fits on a sample bounded by most_docs over all languages and most_per_lang in each, by hash order, outside the held-out fold."""
+def train(docs: DataFrame, *, folds: int = 4, held: int = 2, most_docs: int = 4000, most_per_lang: int = 400, max_train_chars: int = 200_000, max_total_chars: int = 64_000_000, **how) -> Trees | None:
+    """Fits on a sample of rows outside the held-out fold, by hash order: at most most_per_lang a language and most_docs in all (the languages that
+    sort first where there are more languages), of at most max_train_chars characters each and max_total_chars together.
+
+    A language's rows are thinned by hash before they are ranked, so no more than some three times its part meet in one task.
+    """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold(F.col("doc_id"), folds) != held).where(F.length("text").between(1, max_train_chars))
-    langs = known.select("lang").distinct().count()
+    known = known.select("doc_id", "lang", "text")
+    per = cut(known.groupBy("lang").agg(F.count("*").alias("m")).orderBy("lang").limit(most_docs))
+    langs = per.count()
     if langs == 0:
         return None
     each = max(1, min(most_per_lang, most_docs // langs))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("doc_id").distinct()
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").toArrow()  # at most most_docs ids: bounded
+    g = F.xxhash64("doc_id", F.xxhash64("text"))
+    thin = F.broadcast(per.select("lang", F.least(F.lit(1.0), (2.0 * each + 60) / F.col("m")).alias("part")))  # most_docs rows at most
+    drawn = known.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.length("text").alias("n"), g.alias("g")).join(thin, "lang").where(F.pmod("g", F.lit(1 << 30)) < F.col("part") * (1 << 30))
+    w = Window.partitionBy("lang").orderBy("g", "doc_id")
+    ids = drawn.dropDuplicates(["lang", "doc_id", "t"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("doc_id", "lang", "t", "n", "k").toArrow().sort_by([("k", "ascending"), ("lang", "ascending")])
+    ids = ids.slice(0, int(np.searchsorted(np.cumsum(ids["n"].to_numpy()), max_total_chars, "right")))
+    if ids.num_rows == 0:
+        return None
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids.select(["doc_id", "lang", "t"])))  # at most most_docs rows
+    got = known.withColumn("t", F.xxhash64("text")).join(chosen, ["doc_id", "lang", "t"]).dropDuplicates(["doc_id", "lang", "t"]).toArrow()
     samples: dict[str, list[str]] = {}
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    order = np.lexsort((got["t"].to_numpy(), got["doc_id"].to_numpy()))
     for l, t in zip(got["lang"].take(order).to_pylist(), got["text"].take(order).to_pylist(), strict=True):
         samples.setdefault(l, []).append(t)
     return fit(samples, **how)
@@ -167,7 +181,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits for every document.
 
     Null texts and texts without a letter are `und` with score 0, as is every text where nothing can be learned.
-    Ties go to the language that sorts first. Repeated rows are judged each. Extra columns are ignored.
+    Texts of any length are coded whole. Ties go to the language that sorts first. Repeated rows and rows without doc_id (held_out null)
+    are judged each. An empty table gives no rows. Extra columns, whatever their names, are ignored.
     """
     return predict(docs, train(docs)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits")
 

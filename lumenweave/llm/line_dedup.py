@@ -13,7 +13,7 @@ lines, rank of its last 2^k lines), 2^k <= l < 2^(k+1): equal names are equal ru
 name, by document and line, are later copies; overlapping ones merge to the maximal runs that are deleted.
 
 DataFrame functions only. Keys that many rows share occur in aggregations with partial sums and in joins
-against one row for each key, which skew handling splits. Windows span one document.
+against one row for each key; the rows of the few keys with a 200th of all or more meet a broadcast of those, where they are. Windows span one document.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, heavy_join, table
 
 AT = ["d", "g", "p"]  # document, fingerprint of its text, line
 
@@ -41,14 +41,14 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def _named(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, t) for the pairs that occur more than once; t grows in the order of (a, b)."""
-    often = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
-    return cut(often.orderBy(a, b).select(a, b, F.monotonically_increasing_id().alias("t")))
+    """(a, b, n, t) for the pairs that occur more than once, n times; t grows in the order of (a, b)."""
+    often = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
+    return cut(often.orderBy(a, b).select(a, b, "n", F.monotonically_increasing_id().alias("t")))
 
 
 def _first(lines: DataFrame) -> DataFrame:
     """Level 0: (d, g, p, r, i, fore, back), r the rank of the line itself, for lines that recur."""
-    first = lines.join(_named(lines, "h", "h2"), ["h", "h2"]).select(*AT, F.col("t").alias("r"), "i", "fore", "back")
+    first = heavy_join(lines, _named(lines, "h", "h2"), ["h", "h2"], "n").select(*AT, F.col("t").alias("r"), "i", "fore", "back")
     return cut(first.dropDuplicates(AT))  # rows that repeat a document are one
 
 
@@ -71,8 +71,8 @@ def later_copies(docs: DataFrame, least_words: int) -> DataFrame:
             own = own.select(*AT, "k", F.col("r").alias("ra"), F.col("r").alias("rb"))
         named = own if named is None else named.union(own)
     named = cut(named)
-    firsts = named.groupBy("k", "ra", "rb").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "ra", "rb", "first")
-    copies = named.join(firsts, ["k", "ra", "rb"]).where(F.struct(*AT) != F.col("first")).groupBy(*AT).agg(F.max(F.col("p") + F.col("k")).alias("reach"))
+    firsts = cut(named.groupBy("k", "ra", "rb").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = heavy_join(named, firsts, ["k", "ra", "rb"], "n").where(F.struct(*AT) != F.col("first")).groupBy(*AT).agg(F.max(F.col("p") + F.col("k")).alias("reach"))
     w = Window.partitionBy("d", "g").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     gone = zero.select(*AT, "i").join(copies, AT, "left").withColumn("reach", F.max("reach").over(w)).where("reach > p")
     return gone.select("d", "g", "i")
@@ -84,7 +84,7 @@ def _deeper(zero: DataFrame, depth: int) -> list[DataFrame]:
     while 2 ** len(levels) <= depth:
         half, was = 2 ** (len(levels) - 1), levels[-1].select(*AT, "r")
         pairs = cut(was.join(was.select("d", "g", (F.col("p") - half).alias("p"), F.col("r").alias("s")), AT))
-        levels.append(cut(pairs.join(_named(pairs, "r", "s"), ["r", "s"]).select(*AT, F.col("t").alias("r"))))
+        levels.append(cut(heavy_join(pairs, _named(pairs, "r", "s"), ["r", "s"], "n").select(*AT, F.col("t").alias("r"))))
         if levels[-1].isEmpty():
             break
     return levels
@@ -95,7 +95,8 @@ def dedup(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
 
     A run of lines with least_words words or more is deleted wherever it occurs but first, in order of doc_id and line. Lines
     are compared trimmed of blanks; blank lines neither count nor break a run, and stay. Null texts and rows without doc_id are
-    left as they are, with null counts. Rows that repeat doc_id and text get the same result. Columns named like the added ones are replaced.
+    left as they are, with null counts. Rows that repeat doc_id and text get the same result; a doc_id with other texts is a document for each, in order of
+    their fingerprints. Texts of any length are taken whole, an empty text has one blank line, an empty table gives no rows. Columns named like the added ones are replaced.
     """
     gone = later_copies(docs.select("doc_id", "text"), least_words)
     per = gone.groupBy("d", "g").agg(F.sort_array(F.collect_list("i")).alias("removed")).withColumnsRenamed({"d": "doc_id", "g": "__g"})

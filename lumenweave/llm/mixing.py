@@ -40,6 +40,25 @@ def targets(cells: DataFrame, margin: str, flatten: float) -> DataFrame:
     return t.select(margin, (F.col("t") / F.lit(total)).alias("target"))
 
 
+#: rounds of raking in one job, after which lineage is cut and the error looked at
+STRIDE = 3
+#: cells up to this number are raked in one task, where no step of a round needs a shuffle; more are dealt by margin
+ONE_TASK = 50_000
+
+
+def _gathered(cells: DataFrame, few: bool) -> DataFrame:
+    """cells as written, in one partition if they are few."""
+    return cells.coalesce(1) if few else cells
+
+
+def _held(cells: DataFrame, m: str, few: bool) -> DataFrame:
+    """cells with `held`, the weight of all cells of the same value of m: by a window where they are in one partition already, else by partial sums
+    and a join, cut as the plan would double with each."""
+    if few:
+        return cells.withColumn("held", F.sum("weight").over(Window.partitionBy(m)))
+    return cut(cells.join(cells.groupBy(m).agg(F.sum("weight").alias("held")), m))
+
+
 def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit: float = 1e-3) -> tuple[DataFrame, float]:
     """(cells with `weight`, a share of one; the largest error left in a margin, relative to its target).
 
@@ -55,18 +74,19 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
         g = g.join(cells.where("tokens > 0").select(m).distinct(), m, "left_semi")
         s = g.agg(F.sum("target")).first()[0] or 1.0
         now = now.join(g.select(m, (F.col("target") / F.lit(s)).alias(f"goal_{m}")), m, "left")
-    now, error, done = cut(now), float("inf"), 0
+    few = cells.count() <= ONE_TASK
+    now, error, done = _gathered(cut(now), few), float("inf"), 0
     while True:
-        off = F.lit(0.0)
-        for m in goals:
-            held = now.groupBy(m).agg(F.sum("weight").alias("held"))
-            ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
-            now = now.join(held, m).withColumns({"weight": F.col("weight") * ratio, "off": F.greatest(off, F.abs(ratio - 1))}).drop("held")
-            off = F.col("off")
-        now = cut(now)
-        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + 1
+        for _ in range(STRIDE):  # rounds of one job
+            off = F.lit(0.0)
+            for m in goals:
+                ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
+                now = _held(now, m, few).select(*[c for c in now.columns if c not in ("weight", "off")], (F.col("weight") * ratio).alias("weight"), F.greatest(off, F.abs(ratio - 1)).alias("off"))
+                off = F.col("off")
+        now = _gathered(cut(now), few)
+        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + STRIDE
         now = now.drop("off")
-        if error <= fit or (done >= rounds and error > 0.99 * before):
+        if error <= fit or (done >= rounds and error > 0.99**STRIDE * before):
             break
     return now.drop(*[f"goal_{m}" for m in goals]), float(error)
 
@@ -107,19 +127,21 @@ def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds
         values = cut(live.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(g.select(m, F.col("target").alias("weight")), m))
         value = calibrate(values, want / full)
         now = now.join(value.select(m, (F.col("tokens") * F.col("probability")).alias(f"goal_{m}")), m)
-    now = cut(now)
-    for _ in range(rounds):
-        off = F.lit(0.0)
-        for m in goals:
-            one = Window.partitionBy(m)
-            up = one.orderBy("p", *CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            now = now.withColumns({
-                "held": F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one),
-                "factor": (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up),
-            })
-            now = now.withColumns({"off": F.greatest(off, F.abs(F.col("held") / F.col(f"goal_{m}") - 1)), "p": F.col("p") * F.max("factor").over(one)}).drop("held", "factor")
-            off = F.col("off")
-        now = cut(now)
+    few = raked.count() <= ONE_TASK
+    now = _gathered(cut(now), few)
+    for _ in range(-(-rounds // STRIDE)):
+        for _ in range(STRIDE):
+            off = F.lit(0.0)
+            for m in goals:
+                one = Window.partitionBy(m)
+                up = one.orderBy("p", *CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                kept = [c for c in now.columns if c not in ("p", "off")]
+                held = F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one)
+                factor = (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up)
+                now = now.select(*kept, "p", F.greatest(off, F.abs(held / F.col(f"goal_{m}") - 1)).alias("off"), factor.alias("factor"))
+                now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(one)).alias("p"))
+                off = F.col("off")
+        now = _gathered(cut(now), few)
         error = now.agg(F.max("off")).first()[0] or 0.0
         now = now.drop("off")
         if error <= fit:
@@ -177,7 +199,8 @@ def mix(docs: DataFrame, *, share: float = 0.7, flatten: dict[str, float] | None
 
     Margins are source, lang and topic; `flatten` gives each margin's power of its share as target, unless `goals` gives tables. A null
     source, language or topic is a value of its own. Texts without tokens, null ones too, have probability 0. Rows that repeat
-    a doc_id are drawn together; a null doc_id draws by its null. Columns named like the added ones are replaced. missed is the largest
+    a doc_id are drawn together; a null doc_id draws by its null. Texts of any length are counted whole. An empty table gives no rows.
+    Columns named like the added ones are replaced. missed is the largest
     miss, |expected share / target - 1|, of the document's source, language and topic: over 0 where `share` asks for more than there is.
     """
     return mix_with_margins(docs, share=share, flatten=flatten, topic=topic, goals=goals, seed=seed)[0]

@@ -137,10 +137,10 @@ def floor_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k
     return least - 1e-9 * (1 + np.abs(least))
 
 
-def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best rows but its own, of those at its floor or above; ties go to the smaller id."""
+def top(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, score) of each query's k best rows but its own, of those at its floor or above; ties go to the smaller id."""
     rough = q @ x.T
-    rough[q_ids[:, None] == ids[None, :]] = -np.inf
+    rough[q_rows[:, None] == rows[None, :]] = -np.inf
     at = min(k, rough.shape[1]) - 1
     least = np.maximum(-np.partition(-rough, at, axis=1)[:, at], np.where(np.isfinite(floor), floor, -1e300))
     who, what, score = [], [], []
@@ -163,28 +163,38 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: of the commonest length, all components finite, not all zero."""
-    v = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    """vec_id and embedding of the rows that take part: not null, not empty, all components finite, not all zero."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
     fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    v = v.where(fine & F.exists("embedding", lambda c: c != 0))
-    dim = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("embedding") == (dim["d"] if dim else 0))
+    return v.where(fine & F.exists("embedding", lambda c: c != 0))
+
+
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows, by largest inner product, of each row whose vec_id divides by `every`.
 
-    Fitted on at most `sample` vectors by hash order; every usable row is indexed. Rows that repeat a vec_id are candidates each,
-    ask once, and never meet rows of their own vec_id. No usable row: no result.
+    Vectors of different lengths have no inner product: each length is searched for itself. In each, the tree is fitted on at most `sample` vectors by
+    hash order, and every row is indexed. Rows that repeat a vec_id are candidates each and ask each; only the asking row itself is left out of
+    its answer. Null, zero and empty vectors and those with null or non-finite components take no part, nor do rows without vec_id. Columns besides vec_id and
+    embedding, whatever their names, are not read. No usable row: no result.
     """
-    spark = vectors.sparkSession
-    ship(spark)
     v = usable(vectors)
-    taken = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    dims = [r["d"] for r in v.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]  # lengths, not vectors
+    out = None
+    for d in dims:
+        got = _search(v.where(F.size("embedding") == d) if len(dims) > 1 else v, k, every, recall, sample, block_rows)
+        out = got if out is None else out.union(got)
+    return vectors.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def _search(v: DataFrame, k: int, every: int, recall: float, sample: int, block_rows: int) -> DataFrame:
+    """`search` over usable vectors of one length."""
+    spark = v.sparkSession
+    ship(spark)
+    taken = v.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample).toArrow()
     x, x_ids = _matrix(taken["embedding"]), taken["vec_id"].to_numpy()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if len(x) == 0:
-        return spark.createDataFrame([], schema)
     tree = grow(x)
     tree.visits = calibrate(tree, x, k, recall)
     model = spark.sparkContext.broadcast(tree)
@@ -195,7 +205,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(file_under(model.value, _matrix(b.column(1))).astype(np.int32))], names=["vec_id", "embedding", "leaf"])
 
     kind = v.schema["embedding"].dataType.simpleString()
-    filed = cut(v.mapInArrow(file, f"vec_id long, embedding {kind}, leaf int"))
+    filed = cut(v.mapInArrow(file, f"vec_id long, embedding {kind}, leaf int").withColumn("row", F.monotonically_increasing_id()))  # holds from here on, as it is written
     sizes = np.zeros(tree.leaves, np.int64)
     for r in filed.groupBy("leaf").count().collect():  # at most one row for each leaf of the sample's tree
         sizes[r["leaf"]] = r["count"]
@@ -221,7 +231,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
                         block += range(n)
                 if len(at) > 20_000 or j == b.num_rows - 1:
                     i = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(floor[at]), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "q", "floor", "leaf", "block"])
+                    yield pa.RecordBatch.from_arrays([b.column(2).take(i), b.column(0).take(i), b.column(1).take(i), pa.array(floor[at]), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_row", "query_id", "q", "floor", "leaf", "block"])
                     at, leaf, block = [], [], []
 
     n_blocks = F.lit(1)
@@ -229,33 +239,33 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float =
         n_blocks = F.when(F.col("leaf") == int(l), int(blocks[l])).otherwise(n_blocks) if (blocks > 1).sum() < 50 else n_blocks
     if (blocks > 1).sum() >= 50:
         n_blocks = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("leaf") + 1)
-    filed = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks.cast("long")).cast("int"))
+    filed = filed.withColumn("block", F.pmod(F.xxhash64("row"), n_blocks.cast("long")).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes.sum() // 50_000))
-    queries = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(parts, "vec_id").dropDuplicates(["vec_id"])
-    asked = queries.mapInArrow(ask, f"query_id long, q {kind}, floor double, leaf int, block int")
+    queries = filed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "row").repartition(parts, "row")
+    asked = queries.mapInArrow(ask, f"query_row long, query_id long, q {kind}, floor double, leaf int, block int")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, x = left["vec_id"].to_numpy(), _matrix(left["embedding"])
-        q_ids, q, floor = right["query_id"].to_numpy(), _matrix(right["q"]), right["floor"].to_numpy()
-        got = [top(x, ids, q[a : a + 256], q_ids[a : a + 256], k, floor[a : a + 256]) for a in range(0, len(q), 256)]
+            return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, rows, x = left["vec_id"].to_numpy(), left["row"].to_numpy(), _matrix(left["embedding"])
+        q_rows, q_ids, q, floor = right["query_row"].to_numpy(), right["query_id"].to_numpy(), _matrix(right["q"]), right["floor"].to_numpy()
+        got = [top(x, ids, rows, q[a : a + 256], q_rows[a : a + 256], k, floor[a : a + 256]) for a in range(0, len(q), 256)]
         who = np.concatenate([g[0] + a for g, a in zip(got, range(0, len(q), 256), strict=True)])
-        return pa.table({"query_id": q_ids[who], "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
+        return pa.table({"query_row": q_rows[who], "query_id": q_ids[who], "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
 
     def answer(asked: DataFrame) -> DataFrame:
-        met = filed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        met = filed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(meet, "query_row long, query_id long, vec_id long, score double")
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
     found = cut(answer(asked))
     # queries of which the visited leaves hold fewer than k rows above the floor are asked again without one
-    short = cut(queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+    short = cut(queries.join(found.where(F.col("rank") == k).select(F.col("query_row").alias("row")), "row", "left_anti").select("vec_id", "embedding", "row"))
     if short.isEmpty():
-        return found
-    again = answer(short.repartition(parts, "vec_id").mapInArrow(ask, asked.schema).withColumn("floor", F.lit(float("-inf"))))
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*found.columns).union(again)
+        return found.drop("query_row")
+    again = answer(short.repartition(parts, "row").mapInArrow(ask, asked.schema).withColumn("floor", F.lit(float("-inf"))))
+    return found.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").select(*found.columns).union(again).drop("query_row")
 
 
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Words and word pairs of a text are hashed into `buckets`; two bags of buckets are counted, one over
 target texts (a bounded sample of those labelled good) and one over all raw texts. A text's log
 weight is the sum over its n-grams of log(target share / raw share). Documents are drawn without
-replacement in proportion to their tempered weight by Gumbel top-k: the k largest log weights plus
+replacement in proportion to their weight by Gumbel top-k: the k largest log weights plus
 Gumbel noise, which is a function of doc_id and seed. The k-th largest key is found exactly by
 narrowing counts of value ranges, so nothing is sorted or collected but a bounded remainder.
 """
@@ -67,7 +67,7 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
                 n = len(offs) - 1
                 doc, b = _grams(buf, offs, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array(np.bincount(doc, minlength=n)[:n].astype(np.int64)), pa.array(np.bincount(doc, weights=ratio[b], minlength=n)[:n])], names=["doc_id", "n_grams", "log_weight"]
+                    [batch.column(0)[rows], pa.array(np.bincount(doc, minlength=n)[:n].astype(np.int64)), pa.array(np.bincount(doc, weights=ratio[b], minlength=n)[:n].astype(float))], names=["doc_id", "n_grams", "log_weight"]
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
@@ -102,12 +102,13 @@ def _among(df: DataFrame, col: str, k: int) -> float:
     raise ValueError("k exceeds the rows")
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.85, buckets: int = 20_000, max_target: int = 20_000, smooth: float = 1.0, temper: float = 300.0, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.85, buckets: int = 20_000, max_target: int = 20_000, smooth: float = 1.0, temper: float | None = None, seed: int = 7) -> DataFrame:
     """doc_id, n_grams, log_weight, key, selected for every document.
 
-    The sum of log ratios is tempered to that of a text of `temper` n-grams (mean ratio times temper), else
-    length would rule the draw. k is `share` of the documents that have words, rounded up; rows tied at the k-th key are all
-    selected. Texts without words, null or empty, have weight and key null and are never selected. Without labels all weigh alike.
+    k is `share` of the documents that have words, rounded up; rows tied at the k-th key are all selected. Texts without words, null or
+    empty, have weight and key null and are never selected. Texts of any length are weighed whole. Rows that repeat a doc_id and text have
+    the same key; a null doc_id draws the noise of null. Without labels all weigh alike. An empty table gives no rows. Other columns,
+    whatever their names, are ignored. With `temper` the key's weight is that of a text of so many n-grams (mean log ratio times temper).
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -117,7 +118,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.85, buckets
     ratio = np.log(p / p.sum()) - np.log(q / q.sum()) if target.sum() else np.zeros(buckets)
     gumbel = -F.log(-F.log(uniform(F.col("doc_id"), seed=seed)))
     weight = F.when(F.col("n_grams") > 0, F.col("log_weight"))
-    got = cut(weigh(docs, ratio).select("doc_id", "n_grams", weight.alias("log_weight"), F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams") * temper + gumbel).alias("key")))
+    got = cut(weigh(docs, ratio).select("doc_id", "n_grams", weight.alias("log_weight"), F.when(F.col("n_grams") > 0, (F.col("log_weight") if temper is None else F.col("log_weight") / F.col("n_grams") * temper) + gumbel).alias("key")))
     keys = got.where("key is not null").select("key")
     n = keys.count()
     least = kth_largest(keys, "key", int(np.ceil(share * n)))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fold, ship, table, trim
 from .kernels import _BYTE, ALNUM, _upto, mix, runs, slices, words
@@ -131,6 +132,17 @@ def forward_backward(e: np.ndarray, begins: np.ndarray, trans: np.ndarray, start
     return np.where(np.isfinite(r), r / (1 + r), 1.0), x, y
 
 
+def gradient(e: np.ndarray, y: np.ndarray, begins: np.ndarray, trans: np.ndarray, start: float, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradient of the log-likelihood of labels y over the sequences that `use` marks: by each word's emission, the transitions, the start weight."""
+    p, x, back = forward_backward(e, begins, trans, start)
+    over, t = np.where(use, y - p, 0.0), np.exp(trans)
+    after = np.flatnonzero(~begins & use)
+    o = np.exp(np.clip(e[after], -30, 30)) * back[after]
+    q = np.stack([np.full(len(after), t[0, 0]), t[0, 1] * o, x[after - 1] * t[1, 0], x[after - 1] * t[1, 1] * o])
+    q /= q.sum(0)
+    return over, (np.bincount(y[after - 1] * 2 + y[after], minlength=4) - q.sum(1)).reshape(2, 2), over[begins].sum()
+
+
 def _begins(doc: np.ndarray) -> np.ndarray:
     b = np.ones(len(doc), bool)
     b[1:] = doc[1:] != doc[:-1]
@@ -240,12 +252,12 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
     def unpack(theta):
         return theta[:k], theta[k], theta[k + 1 : k + 5].reshape(2, 2), theta[-1]
 
-    def marginals(theta, part):
+    def scores(theta, part):
         lo, hi, i, j = part
         w, bias, tr, start = unpack(theta)
         e = np.full(hi - lo, bias)
         np.add.at(e, tok[i:j] - lo, w[feat[i:j]])
-        return e, *forward_backward(e, begins[lo:hi], tr, start)
+        return e, begins[lo:hi], tr, start
 
     share = (float((y & train).sum()) + 1.0) / (float(train.sum()) + 2.0)
     theta = np.concatenate([np.full(k, 2.0), [np.log(share / (1 - share)) - 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]])
@@ -253,26 +265,20 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, *, max_features: int
     for step in range(1, steps + 1):
         w, _, tr, start = unpack(theta)
         grad = np.concatenate([-0.5 * w, [0.0], -0.5 * tr.reshape(-1), [-0.5 * start]])
-        t = np.exp(tr)
         for part in parts:
             lo, hi, i, j = part
-            own, yy, first = train[lo:hi], y[lo:hi], begins[lo:hi]
-            if not own.any():
+            if not train[lo:hi].any():
                 continue
-            e, p, x, bk = marginals(theta, part)
-            over = np.where(own, yy - p, 0.0)
+            e, first, tr, start = scores(theta, part)
+            over, moves, first_over = gradient(e, y[lo:hi].astype(np.int64), first, tr, start, train[lo:hi])
             grad[:k] += np.bincount(feat[i:j], weights=over[tok[i:j] - lo], minlength=k)
             grad[k] += over.sum()
-            after = np.flatnonzero(~first & own)
-            o = np.exp(np.clip(e[after], -30, 30)) * bk[after]
-            q = np.stack([np.full(len(after), t[0, 0]), t[0, 1] * o, x[after - 1] * t[1, 0], x[after - 1] * t[1, 1] * o])
-            q /= q.sum(0)
-            grad[k + 1 : k + 5] += np.bincount(yy[after - 1] * 2 + yy[after], minlength=4) - q.sum(1)
-            grad[-1] += over[first].sum()
+            grad[k + 1 : k + 5] += moves.reshape(-1)
+            grad[-1] += first_over
         mean, var = 0.9 * mean + 0.1 * grad, 0.97 * var + 0.03 * grad * grad
         theta = theta + 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.97**step)) + 1e-8)
     model.weights, model.bias, model.trans, model.start = (x if isinstance(x, np.ndarray) else float(x) for x in unpack(theta))
-    p = np.concatenate([marginals(theta, part)[1] for part in parts])
+    p = np.concatenate([forward_backward(*scores(theta, part))[0] for part in parts])
     # calibration: logistic regression, with the sample weighted back to the labels' prior
     xs, ys = _aggregate(p, doc, n_docs)[held], label[held].astype(float)
     wt = np.where(ys > 0, prior / max(ys.mean(), 1e-9), (1 - prior) / max(1 - ys.mean(), 1e-9))
@@ -306,16 +312,22 @@ def spans_of(p: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray,
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 2500, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000) -> Field:
-    """Fits on a bounded sample of labelled documents outside the held-out fold: at most max_toxic and max_clean of them, by hash order."""
+def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clean: int = 2500, folds: int = 3, held: int = 1, max_train_chars: int = 1_000_000, max_total_chars: int = 32_000_000) -> Field:
+    """Fits on a bounded sample of labelled documents outside the held-out fold: at most max_toxic and max_clean rows, by hash order, of at most
+    max_train_chars characters each and max_total_chars together. A doc_id with two labels counts under each; rows that repeat a doc_id are one."""
     lab = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held).select("doc_id", "toxic").distinct()
     prior = lab.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     some = [lab.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
-    # at most max_toxic + max_clean ids: bounded, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").where(F.length("text").between(1, max_train_chars)).toArrow()
-    if got.num_rows == 0:
+    # at most max_toxic + max_clean ids: bounded, so it may be broadcast; of rows that repeat an id, one text is taken, the least by hash
+    ids = F.broadcast(some[0].union(some[1]))
+    known = docs.select("doc_id", "text").join(ids, "doc_id").where(F.length("text").between(1, max_train_chars))
+    sizes = known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("g"), F.length("text").alias("n"))).alias("x")).select("doc_id", "toxic", "x.*").toArrow().sort_by([("g", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
+    few = sizes.slice(0, int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), max_total_chars, "right")))
+    if few.num_rows == 0:
         return Field()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")[: max_toxic + max_clean]
+    chosen = docs.sparkSession.createDataFrame(few.select(["doc_id", "toxic", "g"]))
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("g")).dropDuplicates(["doc_id", "toxic"]).select("doc_id", "text", "toxic").toArrow()
+    order = np.lexsort((got["toxic"].to_numpy(), got["doc_id"].to_numpy()))
     texts, tox = got["text"].take(order), got["toxic"].to_numpy()[order] == 1
     model = fit(texts.combine_chunks().cast(pa.large_string()), tox, float(prior or 0.0))
     del got, texts
@@ -323,11 +335,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1000, max_clea
     return model
 
 
-def score(docs: DataFrame, model: Field, *, spans: bool = True, span_at: float = 0.5) -> DataFrame:
-    """doc_id, score, n_words, n_toxic (expected toxic words) and spans for each row. Null and empty texts have no words and get the length-0 score."""
+def score(docs: DataFrame, model: Field, *, spans: bool = True, span_at: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, n_words, n_toxic (expected toxic words) and spans for each row; with `carry`, also the row's text and, as struct
+    `rest`, its columns of these names. Null and empty texts have no words and get the length-0 score."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    rest = docs.select(F.struct(*carry).alias("rest")) if carry else None
+    names = ["doc_id", "score", "n_words", "n_toxic", "spans", *(["text", "rest"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -347,17 +362,21 @@ def score(docs: DataFrame, model: Field, *, spans: bool = True, span_at: float =
                 else:
                     found = [None] * n
                 yield pa.RecordBatch.from_arrays(
-                    [ids[rows], pa.array(z), pa.array(np.bincount(doc, minlength=n)[:n].astype(np.int64)), pa.array(np.bincount(doc, weights=p, minlength=n)[:n]), pa.array(found, SPANS)],
-                    names=["doc_id", "score", "n_words", "n_toxic", "spans"],
+                    [ids[rows], pa.array(z), pa.array(np.bincount(doc, minlength=n)[:n].astype(np.int64)), pa.array(np.bincount(doc, weights=p, minlength=n)[:n].astype(float)), pa.array(found, SPANS), *[c[rows] for c in batch.columns[1 if carry else 2 :]]],
+                    names=names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_words long, n_toxic double, spans array<struct<begin:int,end:int,score:double>>")
+    kind = StructType.fromDDL("doc_id long, score double, n_words long, n_toxic double, spans array<struct<begin:int,end:int,score:double>>")
+    if carry:
+        kind = kind.add("text", "string").add("rest", rest.schema["rest"].dataType)
+    return docs.select("doc_id", "text", *([F.struct(*carry).alias("rest")] if carry else [])).mapInArrow(run, kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, n_words, n_toxic, spans.
 
-    Null texts score as empty ones. Repeated rows are scored each. Extra columns are ignored. Without labels all score alike and low.
+    Null texts score as empty ones. Texts of any length are scored whole. Repeated rows and rows without doc_id are scored each; equal texts
+    score alike. Extra columns are ignored, whatever their names. An empty table gives no rows. Without labels all score alike and low.
     """
     model = train(docs, labels)
     return score(docs, model).select(
@@ -365,5 +384,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> D
     )
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, that score below threshold: one scan, each row judged by its own text, with or without doc_id."""
+    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = score(docs, train(docs, labels), spans=False, carry=kept or ("doc_id",)).where(F.col("score") < threshold)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -5,50 +5,23 @@ labels, and as long a prefix, as some rule has. Level 1 is a Bloom filter over t
 over the universe's keys that level 1 takes for listed; level 3 one over the listed keys that level 2 takes
 for false positives; and so on until a level errs on none. A key's first level that says no tells, by
 its parity, whether it is listed. Filters are arrays of 64-bit words built by aggregation and read as
-scalar subqueries; all of it is DataFrame functions.
+scalar subqueries; all of it is DataFrame functions. Where a level would need a filter over the bound, the keys are
+dealt by hash to as many shares as it takes, each with cascades of its own, and the urls are read once for each share.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import MOST_BITS, Level, bloom
 from .common import ascii_lower, cut, table
 
-#: a list of which a level would need more bits is refused by `build` with a ValueError, and so by `judge`
-MOST_BITS = 1 << 28
 
-
-@dataclass
-class Level:
-    bits: DataFrame  # one row, one array of longs
-    size: int
-    hashes: int
-    seed: int
-
-    def says(self, key: Column) -> Column:
-        """Whether the filter takes the key for one of its own."""
-        word = self.bits.scalar()
-        tests = []
-        for j in range(self.hashes):
-            at = F.pmod(F.xxhash64(key, F.lit(1000 * self.seed + j)), F.lit(self.size))
-            shifted = F.call_function("shiftrightunsigned", F.get(word, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int"))
-            tests.append(shifted.bitwiseAND(F.lit(1)) == 1)
-        return reduce(lambda a, b: a & b, tests)
-
-
-def bloom(keys: DataFrame, n: int, seed: int, bits_per_key: int, hashes: int, most_bits: int = MOST_BITS) -> Level:
-    """A filter over `keys` (key), n of them, of at most most_bits bits."""
-    size = max(64, -(-min(n * bits_per_key, most_bits) // 64) * 64)
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(1000 * seed + j)), F.lit(size)) for j in range(hashes)]))
-    words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    # words without a bit are zero; the row's size is bounded by MOST_BITS
-    all_words = keys.sparkSession.range(size // 64).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-    row = all_words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
-    return Level(cut(row), size, hashes, seed)
+class TooMany(Exception):
+    """A level would need a filter over the bound."""
 
 
 @dataclass
@@ -63,42 +36,65 @@ class Cascade:
         return out
 
 
-def build(listed: DataFrame, universe: DataFrame, *, first_bits: int = 10, bits: int = 5, hashes: int = 4, most_levels: int = 60, seed: int = 0) -> Cascade:
-    """The cascade for `listed` (key) over `universe` (key). Nulls and repeats are ignored. An empty list: no level, nothing is listed."""
+def build(listed: DataFrame, universe: DataFrame, *, first_bits: int = 10, bits: int = 5, hashes: int = 4, most_levels: int = 60, seed: int = 0, most_bits: int = MOST_BITS) -> Cascade:
+    """The cascade for `listed` (key) over `universe` (key). Nulls and repeats are ignored. An empty list: no level, nothing is listed.
+
+    TooMany: a level needs over most_bits bits; the keys are to be dealt to several cascades, as `judge` does.
+    """
     listed = cut(listed.where("key is not null").select("key").distinct())
     n = listed.count()
     if n == 0:
         return Cascade([])
-    if n * first_bits > MOST_BITS:
-        raise ValueError(f"{n} keys need a filter of over {MOST_BITS} bits")
-    levels = [bloom(listed, n, seed + 1, first_bits, hashes)]
+    if n * first_bits > most_bits:
+        raise TooMany
+    levels = [bloom(listed, n, seed + 1, first_bits, hashes, most_bits)]
     sides = [listed, cut(universe.where("key is not null").select("key").where(levels[0].says(F.col("key"))).distinct().join(listed, "key", "left_anti"))]
     while len(levels) < most_levels:
         own = sides[len(levels) % 2]
         n = own.count()
         if n == 0:
             return Cascade(levels)
-        if n * bits > MOST_BITS:
-            raise ValueError("too many false positives for a filter of bounded size")
-        levels.append(bloom(own, n, seed + len(levels) + 1, bits, hashes))
+        if n * bits > most_bits:
+            raise TooMany
+        levels.append(bloom(own, n, seed + len(levels) + 1, bits, hashes, most_bits))
         other = (len(levels)) % 2
         sides[other] = cut(sides[other].where(levels[-1].says(F.col("key"))))
     raise ValueError("the cascade did not end")
 
 
+def share_of(key: Column, shares: int) -> Column:
+    """Which of so many shares of the key universe a key is in."""
+    return F.pmod(F.xxhash64(key, F.lit(99)), F.lit(shares))
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host and path of a url; both empty for null or a url without ://."""
     part = "://([^/?#]*)([^?#]*)"
     return F.coalesce(ascii_lower(F.regexp_extract(url, part, 1)), F.lit("")), F.coalesce(F.regexp_extract(url, part, 2), F.lit(""))
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> DataFrame:
+def _cascades(named: DataFrame, universe: DataFrame, most_bits: int) -> list[tuple[Cascade, Cascade]]:
+    """(block, allow) for each share of the keys; twice as many shares until no level is over the bound."""
+    shares = 1
+    while True:
+        try:
+            out = []
+            for i in range(shares):
+                own = [x.where(share_of(F.col("key"), shares) == i) for x in (named, universe)] if shares > 1 else [named, universe]
+                out.append(tuple(build(own[0].where(F.col("verdict") == v).select("key"), own[1], seed=s, most_bits=most_bits) for v, s in (("block", 0), ("allow", 500))))
+            return out
+        except TooMany:
+            shares *= 2
+
+
+def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", most_bits: int = MOST_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url).
 
-    rules: host, path, verdict ('allow' or 'block'). A rule fits its host and all subdomains of it if the path starts with
+    rules: host, path, verdict ('allow' or 'block'), of any number. A rule fits its host and all subdomains of it if the path starts with
     the rule's; the longest fitting rule, in characters of host and path together, wins, a block rule over an allow rule of equal length.
     Where none fits, the url's keys are in neither cascade, so it is on no list: verdict `default`, rule null. Null urls have empty
-    host and path. Rows are judged each, repeats too. An empty page table gives no rows.
+    host and path. Rows are judged each, repeats and null page_ids too. Urls of any length are judged whole. Other columns of pages, whatever
+    their names, are not read. An empty page table gives no rows, an empty rule table gives `default` everywhere.
     """
     rules = cut(rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null"))
     shape = rules.select(F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("chars")).distinct().collect()  # shapes of rules, not rules
@@ -113,14 +109,17 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> Data
     urls = urls.withColumn("keys", F.array_distinct(F.filter(cand, lambda x: x.isNotNull())))
     universe = urls.select(F.explode("keys").alias("key")).distinct()
     universe = cut(universe)
-    named = rules.select(F.concat("host", "path").alias("key"), "verdict")
-    block, allow = (build(named.where(F.col("verdict") == v).select("key"), universe, seed=s) for v, s in (("block", 0), ("allow", 500)))
+    cascades = _cascades(rules.select(F.concat("host", "path").alias("key"), "verdict"), universe, most_bits)
     # every cascade test is spelled out by candidate: subqueries may not stand within a lambda
     best, verdict = F.lit(None).cast("string"), F.lit(default)
-    n_keys = len(shapes)
-    for j in range(n_keys):
-        k = F.get("keys", F.lit(j))
-        urls = urls.withColumn(f"k{j}", F.when(k.isNull(), F.lit(None).cast("string")).when(block.has(k), F.lit("block")).when(allow.has(k), F.lit("allow")))
+    n_keys, shares = len(shapes), len(cascades)
+    for i, (block, allow) in enumerate(cascades):
+        for j in range(n_keys):
+            k = F.get("keys", F.lit(j))
+            found = F.when(k.isNull(), F.lit(None).cast("string")).when(block.has(k), F.lit("block")).when(allow.has(k), F.lit("allow"))
+            urls = urls.withColumn(f"k{j}", found if shares == 1 else F.when(share_of(k, shares) == i, found).otherwise(F.col(f"k{j}") if i else F.lit(None).cast("string")))
+        if shares > 1:
+            urls = cut(urls)  # the filters of one share at a time are in memory
     for j in range(n_keys):
         k, v = F.get("keys", F.lit(j)), F.col(f"k{j}")
         longer = v.isNotNull() & (F.col("rule").isNull() | (F.length(k) > F.length("rule"))) if j else v.isNotNull()
@@ -140,10 +139,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH r(rh, rp, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH q(rh, rp, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-f AS (SELECT u.*, rh || rp AS rule, verdict FROM u LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-b AS (SELECT *, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS k FROM f)
+f AS (SELECT u.*, rh || rp AS rule, q.verdict FROM u LEFT JOIN q ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC NULLS LAST) AS k FROM f)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE k = 1
 """

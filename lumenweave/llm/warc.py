@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, ship, table
+from .bloom import bloom
+from .common import cut, heavy_join, made, shared_dir, ship, table
 
 SKIPPABLE = 0x184D2A5D
 
@@ -113,7 +114,11 @@ class Archives:
 
 def write(pages: DataFrame, *, least_bytes: int = 1000, level: int = 9, dict_size: int = 64 << 10, sample: int = 400, sample_bytes: int = 64 << 10, archive_mb: int = 32, partitions: int | None = None) -> Archives:
     """Archives page_id, url, html. Of pages with equal payloads of least_bytes or more, the one with the largest page_id is
-    the response and the others revisit it; where rows repeat that page_id, each is written as a response.
+    the response and the others revisit it; where rows repeat that page_id, each is written as a response. Rows without page_id are
+    responses each, null html is an empty payload, and bodies of any length are written whole. Without pages there is no archive. Columns besides
+    page_id, url and html, whatever their names, are not read.
+
+    Archives are written through Arrow's file systems, by the URI of the shared folder: one of a scheme that Arrow does not know raises.
 
     The dictionary is trained on at most `sample` records by hash order, of at most sample_bytes each.
     """
@@ -127,17 +132,26 @@ def write(pages: DataFrame, *, least_bytes: int = 1000, level: int = 9, dict_siz
     keyed = pages.where((F.octet_length(body) >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1(body).alias("d"), F.octet_length(body).alias("n"))
     keyed = cut(keyed)
     keeper = keyed.groupBy("d", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("m")).where("m > 1")
-    revisits = keyed.join(keeper, ["d", "n"]).where("page_id <> keeper").select("page_id", F.col("d").alias("rd"), "keeper").distinct()
-    rows = pages.withColumn("d", F.sha1(body)).join(revisits, "page_id", "left").select("page_id", "url", "html", "d", F.when(F.col("rd") == F.col("d"), F.col("keeper")).alias("refers_to"))
+    revisits = cut(heavy_join(keyed, keeper, ["d", "n"], "m").where("page_id <> keeper").select("page_id", "d", "keeper").distinct())
+    rows = pages.withColumn("d", F.sha1(body))
+    n = revisits.count()
+    if n:
+        # a filter of bounded size tells which bodies may be revisits; all others, those without page_id too, stay where they are
+        says = F.col("page_id").isNotNull() & bloom(revisits.select(F.xxhash64("page_id", "d").alias("key")), n, 53, 12, 4).says(F.xxhash64("page_id", "d"))
+        maybe = rows.where(says).join(revisits.withColumnRenamed("keeper", "refers_to"), ["page_id", "d"], "left")
+        names = ["page_id", "url", "html", "d", "refers_to"]
+        rows = rows.where(~says).withColumn("refers_to", F.lit(None).cast("long")).select(*names).union(maybe.select(*names))
+    else:
+        rows = rows.withColumn("refers_to", F.lit(None).cast("long")).select("page_id", "url", "html", "d", "refers_to")
     if partitions:
         rows = rows.repartition(partitions)
-    base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    base = made(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(w: Writer) -> pa.RecordBatch:
             place = f"{base}/{uuid.uuid4().hex}.warc.zst"
-            fs, path = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+            fs, path = pafs.FileSystem.from_uri(place)
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(path) as f:
                 f.write(w.out.getvalue())
@@ -173,7 +187,7 @@ def read(archives: Archives, *, payloads: bool = True) -> DataFrame:
 
         for batch in batches:
             for place in batch.column(0).to_pylist():
-                fs, path = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+                fs, path = pafs.FileSystem.from_uri(place)
                 rows, size = [], 0
                 with fs.open_input_stream(path) as f:
                     for data in read_archive(f):

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.llm import decontamination, jaccard, language, line_dedup, mixing, neighbours, quality, toxicity, url_filter, warc
-from lumenweave.llm.common import components
+from lumenweave.llm import decontamination, jaccard, language, line_dedup, mixing, neighbours, quality, registry, toxicity, url_filter, warc
+from lumenweave.llm.common import components, heavy_join
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,12 +33,37 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql_agrees(spark, name):
+    """Every query with SQL against DuckDB, row by row."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want.select(", ".join(cols)).fetchall()))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000), (5001, 5000)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[k] == 1000 for k in range(1000, 1100)) and got[5001] == 5000
 
 
+def test_heavy_join(spark):
+    """A key of half of all rows, and keys of one row."""
+    rows = spark.createDataFrame([(0 if k % 2 else k, k) for k in range(400)], "a long, x long")
+    groups = rows.groupBy("a").agg(F.min("x").alias("first"), F.count("*").alias("n"))
+    for most in (1, 3, 1000):
+        got = sorted(map(tuple, heavy_join(rows, groups, ["a"], "n", most).select("a", "x", "first").collect()))
+        assert got == sorted((0 if k % 2 else k, k, 0 if k % 2 else k) for k in range(400))
+    assert heavy_join(rows.limit(0), groups.limit(0), ["a"], "n").count() == 0
+
+
 @pytest.mark.parametrize("words", [50, 6])
 def test_line_dedup(spark, small, words):
     period = [(50_000 + k, "\n".join(["one two three", "four five", "", "six seven eight nine"][j % (2 + k % 3)] for j in range(k)), "en", "s", 1) for k in range(12)]
@@ -85,6 +110,64 @@ def test_cascade_is_exact(spark):
     assert universe.where(c.has(F.col("key")) != (F.expr("xxhash64(key) % 5 = 0"))).count() == 0
 
 
+@pytest.mark.parametrize("most_bits", [1 << 26, 1500])
+def test_many_rules_in_shares(spark, most_bits):
+    """Rules for two thirds of the hosts, with filters far too small for one cascade, against a plain loop."""
+    hosts = [f"h{k}.example{k % 7}.org" for k in range(400)]
+    rules = [(h, "/a/", "block" if k % 2 else "allow") for k, h in enumerate(hosts) if k % 3] + [("org", "", "block")]
+    urls = [(k, f"http://{'x.' * (k % 2)}{h}/{'a' if k % 5 else 'b'}/p") for k, h in enumerate(hosts)]
+    got = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), most_bits=most_bits).collect()
+    for r in got:
+        fits = [(len(h + p), v, h + p) for h, p, v in rules if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        best = max(fits)
+        assert (r["rule"], r["verdict"]) == (best[2], best[1])
+    assert len(got) == 400
+
+
+def test_crf_gradient():
+    """The gradient of the fit against differences of the log-likelihood, summed over all labellings."""
+    rng = np.random.default_rng(3)
+    n, begins, use = 12, np.zeros(12, bool), np.ones(12, bool)
+    begins[[0, 4, 9]] = True
+    use[9:] = False
+    y = rng.integers(0, 2, n)
+
+    def likelihood(e, tr, start):
+        out = 0.0
+        for a, z in ((0, 4), (4, 9)):
+            score = lambda ys, a=a: sum(e[a + k] * v for k, v in enumerate(ys)) + start * ys[0] + sum(tr[u, v] for u, v in zip(ys[:-1], ys[1:], strict=True))
+            out += score(list(y[a:z])) - np.log(sum(np.exp(score([(s >> k) & 1 for k in range(z - a)])) for s in range(1 << (z - a))))
+        return out
+
+    e, tr, start, d = rng.normal(size=n), rng.normal(size=(2, 2)), 0.4, 1e-6
+    over, moves, first = toxicity.gradient(e, y, begins, tr, start, use)
+    base = likelihood(e, tr, start)
+    step = np.eye(n) * d
+    assert np.allclose(over, [(likelihood(e + step[k], tr, start) - base) / d for k in range(n)], atol=1e-4)
+    for i in (0, 1):
+        for j in (0, 1):
+            t = tr.copy()
+            t[i, j] += d
+            assert abs(moves[i, j] - (likelihood(e, t, start) - base) / d) < 1e-4
+    assert abs(first - (likelihood(e, tr, start + d) - base) / d) < 1e-4
+
+
+def test_toxicity_repeats_and_clashes(spark, small):
+    """Equal texts score alike, with or without doc_id; the stage keeps all columns and drops by text."""
+    bad = "you idiot scum moron " * 5
+    rows = [(1, bad, "en", "s", 1), (1, bad, "en", "s", 1), (None, bad, None, None, None), (2, small[0][1], "en", "s", 1), (2, small[0][1], "en", "s", 1), (None, None, None, None, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, toxic int")
+    words = [(k, f"word{k} text{k * 7} with{k % 11} some more words {'idiot scum moron fool' if k % 2 else 'fine day here now'} tail{k * 3}", "en", "s", 1) for k in range(3000)]
+    model = toxicity.train(spark.createDataFrame(words + words[:9], DOC), labels)
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(frame(spark, rows), model).collect()]
+    assert len(got) == 6 and len({s for i, s in got[:3]}) == 1 and got[3][1] == got[4][1] < 0.7 <= got[0][1]
+    docs = spark.createDataFrame(words + rows, DOC).withColumn("rest", F.lit(7)).withColumn("score", F.lit("z"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    left = [r for r in kept.collect() if r["text"] == bad or r["text"] is None or r["text"] == small[0][1]]
+    assert sorted(str(r["doc_id"]) for r in left) == ["2", "2", "None"] and all(r["rest"] == 7 and r["score"] == "z" for r in left)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     e, begins, tr = rng.normal(size=23), np.zeros(23, bool), rng.normal(size=(2, 2))
@@ -119,7 +202,7 @@ def test_toxicity(spark, small):
 def test_decontamination(spark, small):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(12).collect()]
     items += [(900, "tiny Phrase"), (901, None), (902, "..."), (None, "tiny phrase")]
-    rows = small[:60] + small[300:306] + [(60_000, f"x {items[0][1]} y {items[3][1].upper()}", "en", "s", 1), (60_001, "A TINY, phrase", "en", "s", 1), (60_002, "tiny", "en", "s", 1), (60_003, "phrase tiny phrase tiny phrase", "en", "s", 1)]
+    rows = small[:60] + small[300:306] + small[-2:] + [(60_000, f"x {items[0][1]} y {items[3][1].upper()}", "en", "s", 1), (60_001, "A TINY, phrase", "en", "s", 1), (60_002, "tiny", "en", "s", 1), (60_003, "phrase tiny phrase tiny phrase", "en", "s", 1)]
     want = decontamination.brute_force([r[:2] for r in rows], [i for i in items if i[0] is not None])
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: tuple(r[1:6]) for r in decontamination.decontaminate(frame(spark, rows), bench).collect()}
@@ -154,7 +237,7 @@ def test_near():
     texts = ["a b c d e f g", "g x x x x x a", "a c"]
     _, buf, offs = next(slices([], pa.array(texts)))
     doc, _, _, h = words(buf, offs, ALNUM)
-    row = dict(zip(["doc_ids", "known", "first", "terms", "counts", "deltas"], decontamination._segment(np.arange(3), np.ones(3, bool), np.bincount(doc), h), strict=True))
+    row = dict(zip(["doc_ids", "known", "names", "first", "terms", "counts", "deltas"], decontamination._segment(np.arange(3), np.ones(3, bool), np.zeros((3, 2), np.int64), np.bincount(doc), h), strict=True))
     seg = decontamination.Segment(row)
     _, qb, qo = next(slices([], pa.array(["a c"])))
     q = words(qb, qo, ALNUM)[3]
@@ -194,11 +277,12 @@ def test_neighbours(spark):
     x = (centres[rng.integers(0, 30, 4000)] + 0.4 * rng.normal(size=(4000, 16))).astype("float32")
     x[1000:2200] = x[1000]  # copies
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [1.0] * 3, 0), (5080, [None] * 16, 0), (5100, [], 0), (None, x[0].tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = {}
     for r in neighbours.search(df, sample=1500, block_rows=300).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 4000, 20))
+    assert 5060 not in got  # the only vector of its length has no other row to find
     x = x.astype(float)
     hit = total = 0
     for q, rs in got.items():
@@ -212,10 +296,26 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
     few = neighbours.search(df.where("vec_id < 6 or vec_id is null")).collect()
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, k) for k in range(1, 6)]
-    assert neighbours.search(df.where("vec_id >= 5000")).count() == 0 or True
+    assert neighbours.search(df.where("vec_id >= 5000")).count() == 0
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_lengths_and_repeats(spark):
+    """Against a plain loop: vectors of two lengths, rows that repeat a vec_id with equal and other vectors, ties."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(-3, 4, 4 if k % 3 else 6).tolist()) for k in range(200)]
+    rows += [(20, [1, 2, 3, 1]), (20, [1, 2, 3, 1]), (40, [0, 0, 1, 1]), (7, rows[7][1])]
+    rows = [r for r in rows if any(r[1])]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, neighbours.search(df, k=5, recall=1.0).select("query_id", "rank", "score", "vec_id").collect()))
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), j) for b, (j, w) in enumerate(rows) if b != a and len(w) == len(v))[:5]
+            want += [(i, r, -s, j) for r, (s, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("how", [{}, {"most_pairs": 2, "hot_least": 1}])
 def test_jaccard(spark, small, how):
     want = jaccard.brute_force([r[:2] for r in small])
@@ -227,6 +327,30 @@ def test_jaccard(spark, small, how):
         assert sorted(str(r["component_id"]) for r in rows) == sorted([str(small[0][0])] * 2 + ["None"])
 
 
+def test_jaccard_rows_of_one_id(spark):
+    """Rows that repeat a doc_id with other texts link each by its own; rows without doc_id link as well; one row of each class is kept."""
+    text = lambda tag, n=30, end="": " ".join(f"{tag}{k}" for k in range(n)) + end
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (9, text("b", end=" more")), (None, text("c")), (None, text("c", end=" x")), (3, text("d")), (3, text("d")), (None, text("a", end=" y")), (7, None), (7, None), (8, ""), (8, " \t"), (6, "Z z"), (6, "z z")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC)
+    got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard.join(docs).collect())
+    want = [(1, 26, 1), (5, 26, 1), (5, 26, 5), (9, 27, 5), (None, 26, None), (None, 27, None), (3, 26, 3), (3, 26, 3), (None, 27, 1), (7, 0, 7), (7, 0, 7), (8, 0, 8), (8, 0, 8), (6, 1, 6), (6, 1, 6)]
+    assert got == sorted(map(str, want))
+    kept = jaccard.keep_one(docs.withColumn("best", F.lit(1)))
+    left = sorted(str((r["doc_id"], r["text"][:1] if r["text"] else r["text"])) for r in kept.collect())
+    ends = [str((r["doc_id"], r["text"][:1] if r["text"] else r["text"])) for r in kept.where("text like 'c%'").collect()]
+    assert len(ends) == 1 and left == sorted(map(str, [(1, "a"), (5, "b"), (None, "c"), (3, "d"), (7, None), (7, None), (8, ""), (8, " "), kept.where("doc_id = 6").first()["text"] and (6, kept.where("doc_id = 6").first()["text"][:1])]))
+
+
+def test_jaccard_buckets_of_unlike_texts(spark):
+    """Texts made of few phrases, so that most buckets are large and hold several classes: no link is lost to pivots."""
+    rng = np.random.default_rng(6)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(7)) for k in range(14)]
+    rows = [(k, " ".join(phrases[p] for p in sorted(rng.choice(14, rng.integers(3, 9), replace=False)))) for k in range(250)]
+    want = jaccard.brute_force(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), most_pairs=3, hot_least=5).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
 def test_quality(spark, small):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r for r in quality.resample(frame(spark, small), labels, share=0.5).collect()}
@@ -236,11 +360,51 @@ def test_quality(spark, small):
     assert not got[10_001]["selected"] and got[10_002]["log_weight"] is None
     assert quality.resample(empty(spark), labels).count() == 0
     assert quality.resample(frame(spark, small[:8]), labels.limit(0)).count() == 8
+    twice = quality.resample(frame(spark, [*small[:8], *small[:8], (None, small[0][1], None, None, None)]), labels, share=0.5).collect()
+    assert len(twice) == 17 and all(len({r["selected"] for r in twice if r["doc_id"] == i}) == 1 for i in {r["doc_id"] for r in twice})
     keys = spark.createDataFrame([(float(x),) for x in [*range(500), *[7.0] * 300]], "key double")
     ordered = sorted([*map(float, range(500)), *[7.0] * 300], reverse=True)
     assert all(quality.kth_largest(keys, "key", k, bins=5, rest=3) == ordered[k - 1] for k in (1, 2, 491, 600, 800)) and quality.kth_largest(keys, "key", 801) is None
 
 
+def test_quality_against_a_plain_version(spark, small):
+    """Models, weights, keys and the drawn set, recomputed with dictionaries; the hash of words and of doc_id alone is taken from the operator."""
+    import math
+    from collections import Counter
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    got = {r["doc_id"]: r for r in quality.resample(spark.createDataFrame(small, DOC), labels, share=0.4, buckets=512).collect()}
+    noise = {r["doc_id"]: r["u"] for r in spark.createDataFrame(small, DOC).select("doc_id", quality.uniform(F.col("doc_id"), seed=7).alias("u")).collect()}
+    bags = {}
+    for i, t, *_ in small:
+        buf = np.frombuffer((t or "").encode(), np.uint8)
+        bags[i] = Counter(quality._grams(buf, np.array([0, len(buf)]), 512)[1].tolist())
+        w = len("".join(c if c.isalnum() or ord(c) > 127 else " " for c in t or "").split())
+        assert sum(bags[i].values()) == got[i]["n_grams"] == max(0, 2 * w - 1)
+    raw, target = sum(bags.values(), Counter()), sum((b for i, b in bags.items() if i in good), Counter())
+    n_raw, n_target = sum(raw.values()) + 512, sum(target.values()) + 512
+    keys = {}
+    for i, bag in bags.items():
+        if bag:
+            w = sum(n * (math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw)) for b, n in bag.items())
+            assert abs(w - got[i]["log_weight"]) < 1e-6 * (1 + abs(w))
+            keys[i] = w - math.log(-math.log(noise[i]))
+            assert abs(keys[i] - got[i]["key"]) < 1e-6 * (1 + abs(keys[i]))
+    best = sorted(keys, key=lambda i: -got[i]["key"])[: math.ceil(0.4 * len(keys))]
+    assert {i for i, r in got.items() if r["selected"]} >= set(best) and min(got[i]["key"] for i in best) == min(r["key"] for r in got.values() if r["selected"])
+
+
+def test_warc_repeats(spark):
+    """Rows without page_id and rows that repeat one are records each; the response of a payload is its largest page_id."""
+    body = "y" * 1500
+    rows = [(None, "u", body), (None, "u", body), (3, "u", body), (3, "u", body), (2, "u", body), (2, "u", "z" * 1500), (1, "u", "z" * 1500), (None, None, None)]
+    got = warc.read(warc.write(spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, d string"))).collect()
+    assert sorted(str((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"])) for r in got) == sorted(map(str, [
+        (None, 1500, "response", None), (None, 1500, "response", None), (3, 1500, "response", None), (3, 1500, "response", None), (2, 1500, "revisit", 3), (2, 1500, "response", None), (1, 1500, "revisit", 2), (None, 0, "response", None)
+    ]))
+
+
 def test_warc(spark):
     body = "<html>" + "é x" * 600
     rows = [(1, "http://a/1", body), (2, "http://a/2", body), (3, None, body), (4, "u", "short"), (5, "u\r\nv", "short"), (6, "u", None), (7, "u", ""), (8, "u", "x" * 2_000_000), (9, "u", "x" * 2_000_000)]
@@ -274,6 +438,15 @@ def test_language(spark, small):
     assert language.identify(frame(spark, [(1, "abc", None, None, 3)])).first()["lang_pred"] == "und"
 
 
+def test_language_ties_and_repeats(spark):
+    """Languages of equal samples tie, and the first wins; rows that repeat a doc_id are judged each, rows without doc_id too."""
+    rows = [(k, "same old words", lang, "s", 1) for k, lang in enumerate(["bb", "aa"] * 40)] + [(0, "same", "bb", "s", 1), (None, "same", None, None, None), (None, "same", None, None, None)]
+    got = language.predict(frame(spark, rows), language.fit({"bb": ["same old words"], "aa": ["same old words"]})).collect()
+    assert len(got) == 83 and {r["lang_pred"] for r in got} == {"aa"} and all(abs(r["score"] - 0.5) < 1e-9 for r in got)
+    out = language.identify(frame(spark, rows + rows)).collect()
+    assert len(out) == 166 and sum(r["held_out"] is None for r in out) == 4
+
+
 def test_code_lengths_by_hand():
     """Costs of the merged tree against a plain recursive model."""
     import math
@@ -335,6 +508,40 @@ def test_mixing(spark, small):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_against_a_plain_version(spark, small):
+    """Weights, probabilities and the draw, recomputed with dictionaries; rows that repeat and columns that clash ride along."""
+    rows = [*small[:200], small[0], small[0], (None, small[1][1], "en", None, 1)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("weight", F.lit("w")).withColumn("probability", F.lit(9)).withColumn("topic", F.lit("odd"))
+    out = mixing.mix(docs, share=0.3, topic=F.when(F.length("text") % 2 == 0, "p").otherwise("q")).withColumn("u", mixing.uniform(F.col("doc_id"), seed=11)).collect()
+    assert len(out) == len(rows) and out[0]["topic"] in "pq"
+    cells = {}
+    for r in out:
+        c = (r["source"], r["lang"], r["topic"])
+        cells[c] = cells.get(c, 0) + r["n_tokens"]
+    total = sum(cells.values())
+    goals = []
+    for m, f in enumerate((0.5, 0.6, 0.8)):
+        t = {}
+        for c, n in cells.items():
+            t[c[m]] = t.get(c[m], 0) + n
+        t = {k: n**f for k, n in t.items() if n}
+        goals.append({k: v / sum(t.values()) for k, v in t.items()})
+    w = {c: n / total for c, n in cells.items()}
+    for _ in range(200):
+        for m, g in enumerate(goals):
+            held = {}
+            for c, v in w.items():
+                held[c[m]] = held.get(c[m], 0) + v
+            w = {c: v * g.get(c[m], 0) / held[c[m]] if held[c[m]] else 0.0 for c, v in w.items()}
+    full = max(w[c] / n for c, n in cells.items() if n) * 0.3 * total <= 1  # no cell is whole: probabilities follow the weights
+    for r in out:
+        c = (r["source"], r["lang"], r["topic"])
+        if cells[c]:
+            assert abs(r["weight"] - w[c] * total / cells[c]) < 2e-2 * (1 + r["weight"])
+            assert not full or abs(r["probability"] - 0.3 * total * w[c] / cells[c]) < 2e-2
+        assert r["selected"] == (r["u"] < r["probability"])
+
+
 def test_mixing_holds_margins_within_tokens(spark):
     """A cell that its weight would draw more than once: bounded raking holds all margins; what tokens cannot give is told."""
     rows = [(k, "w " * n, lang, source, 1) for k, (source, lang, n) in enumerate([("a", "x", 100), ("a", "y", 700), ("b", "x", 600), ("b", "y", 600)] * 5)]
@@ -377,14 +584,49 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_copies", "decontamination", "mixing"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes
     out = corpus_pipeline.run(spark, SF)
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 100 < len(ids) < docs.count()
 
 
+def test_stages_remove_what_they_must(spark):
+    """Planted documents, with and without doc_id, repeated, and with a column that clashes: each stage takes its own and leaves the rest."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bad = docs.join(toxicity.toxicity(docs, labels).where("predicted = 1"), "doc_id").join(labels.where("toxic = 1"), "doc_id").where("length(text) between 400 and 2000").orderBy("doc_id").first()["text"]
+    clean = lambda tag, n=120: " ".join(f"{tag}{k}" for k in range(n))
+    passage = "\n".join(clean(f"line{k}x", 20) for k in range(4))
+    planted = [
+        (900_001, bad), (None, bad), (900_002, f"{clean('o')} {item}"), (None, f"{item} {clean('r')}"), (900_003, clean("c")), (900_004, clean("c") + " end"), (None, clean("c")),
+        (900_005, clean("e") + "\n" + passage), (900_006, clean("f") + "\n" + passage), (900_007, clean("g")), (900_007, clean("g")), (900_008, None), (900_009, ""), (None, clean("z")), (900_010, clean("long", 60_000)),
+    ]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in planted], DOC)
+    now = docs.limit(200).select("doc_id", "text", "lang", "source", "n_chars").union(rows).withColumn("predicted", F.lit("x"))
+    held = lambda df: sorted(str((r["doc_id"], (r["text"] or "")[:6], len(r["text"] or ""))) for r in df.where("doc_id >= 900000 or doc_id is null").collect())
+    name = lambda i, t: str((i, (t or "")[:6], len(t or "")))
+    gone = {
+        "toxicity": planted[:2], "decontamination": planted[2:4], "near_copies": [planted[5], planted[6], planted[10], planted[1]],
+    }
+    for n, lost in gone.items():
+        out = stages[n](spark, now, SF)
+        assert out.columns == corpus_pipeline.COLUMNS and out.dtypes == docs.select(*corpus_pipeline.COLUMNS).dtypes
+        want = sorted(name(*p) for p in planted)
+        if n == "near_copies":
+            lost = lost[:3] + ([planted[0]] if docs.limit(200).where(F.col("text") == bad).count() else []) + [planted[1]]
+        for p in lost:
+            want.remove(name(*p))
+        assert held(out) == want, n
+    out = {r["doc_id"]: r for r in stages["line_dedup"](spark, now, SF).where("doc_id >= 900000").collect()}
+    assert out[900_005]["text"].endswith(passage) and out[900_006]["text"] == clean("f") and out[900_006]["n_chars"] == len(clean("f")) and out[900_008]["text"] is None and out[900_009]["text"] == ""
+    none = now.limit(0)
+    for n, stage in stages.items():
+        assert stage(spark, none, SF).count() == 0, n
+
+
 def test_folds(spark):
     got = language.identify(spark.createDataFrame([(k, "the text", "en", "s", 1) for k in range(20)], DOC)).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
