@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import without
-from .common import cut, ship, table
+from .common import cut, ship, table, trim
 from .kernels import ALNUM, slices, words
 
 INDEX = "doc_ids binary, known binary, names binary, first binary, terms binary, counts binary, deltas binary, segment long"
@@ -44,7 +44,7 @@ def _segment(ids: np.ndarray, known: np.ndarray, names: np.ndarray, n: np.ndarra
     return [x.tobytes() for x in (ids, known, names, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), s[at], counts.astype(np.int32), d.astype(np.int32))]
 
 
-def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
+def build_index(docs: DataFrame, *, segment_bytes: int = 4 << 20) -> DataFrame:
     """The stored index of doc_id, text. A longer document has a segment of its own. Null texts have no words.
 
     A document is named by its segment's number and its place there, whatever its doc_id; two fingerprints of its text go along.
@@ -75,6 +75,8 @@ def build_index(docs: DataFrame, *, segment_bytes: int = 8 << 20) -> DataFrame:
                 size += len(buf)
         if held:
             yield out()
+        held = []
+        trim()
 
     return cut(docs.select("doc_id", "text", *[c.alias(f"name{k}") for k, c in enumerate(_names(F.col("text")), 1)]).mapInArrow(run, INDEX))
 
@@ -266,6 +268,8 @@ def search(index: DataFrame, items: DataFrame, *, size: int = 8, block_words: in
                         pa.array(np.full(n, row["segment"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.ids, mask=~seg.known), pa.array(seg.names[:, 0]), pa.array(seg.names[:, 1]), pa.array(np.diff(seg.first)), pa.array(hits[seg.first[1:]] - hits[seg.first[:-1]]),
                         pa.array([sorted({q["items"][i] for i in x}) for x in found], pa.list_(pa.string())), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
                     ], names=[x.split()[0] for x in FOUND.split(", ")])
+                    del seg, hit, hits, edge, step
+            trim()
 
         got = index.mapInArrow(run, FOUND)
         out = got if out is None else out.union(got)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bloom, without
-from .common import components, cut, heavy_join, ship, table
+from .common import components, cut, heavy_join, ship, table, trim
 from .kernels import SPACED, mix, runs, slices, words
 
 _U = np.uint64
@@ -105,6 +105,8 @@ def _describe(size: int, flush: int = 1 << 21, least: int = 4):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=names)
         if held:
             yield often()
+        held, seen = [], set()
+        trim()
 
     return run, "kind int, doc_id long, t long, n long, f1 long, f2 long, bits array<long>"
 
@@ -168,6 +170,8 @@ def _prefixes(size: int, num: int, den: int, parts: int, hot: np.ndarray, hot_co
                     own, kept, lens, flags, total = [], [], [], [], 0
         if kept:
             yield out()
+        own, kept, lens, flags, seen = [], [], [], [], set()
+        trim()
 
     return run
 

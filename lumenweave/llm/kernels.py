@@ -53,7 +53,7 @@ def _upto(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def slices(ids: pa.Array | list, texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def slices(ids: pa.Array | list, texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Cuts a column of strings into runs of whole texts of about `most` bytes: (rows, bytes, offsets). Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

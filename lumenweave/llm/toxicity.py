@@ -365,6 +365,7 @@ def score(docs: DataFrame, model: Field, *, spans: bool = True, span_at: float =
                     [ids[rows], pa.array(z), pa.array(np.bincount(doc, minlength=n)[:n].astype(np.int64)), pa.array(np.bincount(doc, weights=p, minlength=n)[:n].astype(float)), pa.array(found, SPANS), *[c[rows] for c in batch.columns[1 if carry else 2 :]]],
                     names=names,
                 )
+        trim()
 
     kind = StructType.fromDDL("doc_id long, score double, n_words long, n_toxic double, spans array<struct<begin:int,end:int,score:double>>")
     if carry:
