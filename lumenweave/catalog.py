@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.functions import bits, scalars, specs
-from lumenweave.operators import checks, frames, prediction, transforms
+from lumenweave.operators import checks, features, frames, planes, prediction, transforms
 from lumenweave.plans import filters, kernels
 from lumenweave.plans import frames_sql as S
 from lumenweave.plans.reports import PLANS
@@ -220,3 +220,66 @@ p AS (SELECT *, CASE WHEN abs(a - c) <= abs(l - c) AND abs(a - c) <= abs(l + a -
 m AS (SELECT frame, gy, gx, k, mode, CAST(sum(CASE k WHEN 1 THEN (v - dc) * (v - dc) WHEN 2 THEN (v - a) * (v - a) WHEN 3 THEN (v - l) * (v - l) ELSE (v - q) * (v - q) END) AS BIGINT) AS sse FROM p, (VALUES (1, 'dc'), (2, 'vertical'), (3, 'horizontal'), (4, 'paeth')) t(k, mode) GROUP BY frame, gy, gx, k, mode),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame, gy, gx ORDER BY sse, k) AS n FROM m)
 SELECT frame, gy, gx, string_agg(mode, ',' ORDER BY n) AS modes, min(sse) AS sse FROM r WHERE n <= 2 GROUP BY frame, gy, gx""")
+
+
+# --- edges of scores, blocks cut by a frame's edge, planes of binary frames
+def _odd(spark: SparkSession, kind: str) -> DataFrame:
+    return patterns.pattern(spark, kind, 44, 28, S.N)
+
+
+_O = S.pattern("gradient", 44, 28)
+_frames("split_gain_odd", lambda s: frames.split_gain(_odd(s, "gradient"), 16), f"SELECT b.frame, b.gy, b.gx, CAST(greatest(0, b.sse - k.kids) AS BIGINT) AS gain FROM {S.block_sse(_O, 16)} b JOIN (SELECT frame, gy // 2 AS gy, gx // 2 AS gx, sum(sse) AS kids FROM {S.block_sse(_O, 8)} c GROUP BY frame, gy // 2, gx // 2) k USING (frame, gy, gx) WHERE b.gy * 16 + 16 <= 28 AND b.gx * 16 + 16 <= 44")
+_frames("block_histogram_odd", lambda s: frames.histogram(_odd(s, "gradient")), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, v0, count(*) AS n, min((y % 8) * 8 + x % 8) AS first FROM {_O} p WHERE y < 24 AND x < 40 GROUP BY frame, 2, 3, v0")
+_frames("palette_worthy_odd", lambda s: frames.palette_worthy(_odd(s, "checker")), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, count(DISTINCT v0) AS colours, count(DISTINCT v0) BETWEEN 2 AND 4 AS worthy FROM {S.pattern('checker', 44, 28)} p WHERE y < 24 AND x < 40 GROUP BY frame, 2, 3")
+_frames("residual_energy", lambda s: features.residual_energy(_p(s, "gradient"), 8), f"SELECT frame, y // 8 AS gy, x // 8 AS gx, CAST(sum(v0 * v0) AS BIGINT) AS total, CAST(sum(CASE WHEN y % 8 < 4 AND x % 8 < 4 THEN v0 * v0 ELSE 0 END) AS BIGINT) AS head, CAST(sum(CASE WHEN y % 8 < 4 AND x % 8 < 4 THEN 0 ELSE v0 * v0 END) AS BIGINT) AS tail FROM {_G} p GROUP BY frame, 2, 3")
+_frames("neighbour_samples", lambda s: features.neighbours(_p(s, "gradient")), f"SELECT p.frame, p.y, p.x, p.v0, l.v0 AS left, a.v0 AS above FROM {_G} p LEFT JOIN {_G} l ON l.frame = p.frame AND l.y = p.y AND l.x = p.x - 1 LEFT JOIN {_G} a ON a.frame = p.frame AND a.y = p.y - 1 AND a.x = p.x".replace("AS left", 'AS "left"'))
+_frames("copies_within_frame", lambda s: features.copies_within(_p(s, "color_blocks")), f"""
+WITH b AS (SELECT frame, y // 8 AS gy, x // 8 AS gx, string_agg(v0 || ',' || v1 || ',' || v2, ';' ORDER BY y, x) AS d FROM {S.pattern("color_blocks")} p GROUP BY frame, 2, 3)
+SELECT frame, gy, gx, f // 1000 AS from_gy, f % 1000 AS from_gx FROM (SELECT c.frame, c.gy, c.gx, max(o.gy * 1000 + o.gx) AS f FROM b c JOIN b o ON o.frame = c.frame AND o.d = c.d AND (o.gy < c.gy OR o.gy = c.gy AND o.gx < c.gx) GROUP BY c.frame, c.gy, c.gx)""")
+
+
+def tradeoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ratios that are zero, infinite, not a number or missing, by customer."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    odd = lambda k, v: F.when(k == 0, F.lit(None).cast("double")).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(0.0)).when(k == 3, F.lit(float("-inf"))).otherwise(v)
+    k = F.col("c_custkey")
+    j = c.select("c_custkey", odd(k % 6, k % 40 / 20).alias("fps"), odd(F.floor(k / 6) % 6, k % 30 / 20).alias("size"), odd(F.floor(k / 36) % 6, k % 25 / 10 - 1.2).alias("dpsnr"))
+    score = scalars.tradeoff_score(F.col("fps"), F.col("size"), F.col("dpsnr"))
+    return j.select("c_custkey", F.round(score, 5).alias("score"), scalars.tradeoff_status(score, F.col("fps"), F.col("size"), F.col("dpsnr")).alias("status"))
+
+
+QUERIES["tradeoff_edges"] = tradeoff_edges
+SQL["tradeoff_edges"] = """
+WITH k AS (SELECT c_custkey, c_custkey % 6 AS a, c_custkey // 6 % 6 AS b, c_custkey // 36 % 6 AS c, c_custkey % 40 / 20.0::DOUBLE AS f, c_custkey % 30 / 20.0::DOUBLE AS z, c_custkey % 25 / 10.0::DOUBLE - 1.2::DOUBLE AS p FROM customer),
+t AS (SELECT c_custkey, CASE WHEN a > 3 AND f > 0 THEN f END AS f, CASE WHEN b > 3 AND z > 0 THEN z END AS z, CASE WHEN c > 3 THEN p WHEN c = 2 THEN 0.0::DOUBLE END AS p FROM k),
+s AS (SELECT *, CASE WHEN f IS NOT NULL OR z IS NOT NULL OR p IS NOT NULL THEN coalesce(10 * log2(f), 0) + coalesce(4 * log2(1 / z), 0) + coalesce(8 * p, 0) END AS score FROM t)
+SELECT c_custkey, round(score, 5) AS score, CASE WHEN score IS NULL THEN NULL WHEN coalesce(f < 0.9, FALSE) OR coalesce(z > 1.2, FALSE) OR coalesce(p < -1.0, FALSE) THEN 'regress'
+  WHEN score >= 2 AND coalesce(f >= 1.1, TRUE) THEN CASE WHEN coalesce(p < -0.3, FALSE) OR coalesce(z > 1.05, FALSE) THEN 'watch' ELSE 'accept' END WHEN score >= 0 THEN 'watch' ELSE 'regress' END AS status FROM s"""
+
+
+def _text_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's bytes as a grey frame of one line."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) > 0")
+    data = F.encode("text", "UTF-8")
+    return d.select(F.lit("documents").alias("path"), F.col("doc_id").alias("frame_index"), F.octet_length(data).alias("width"), F.lit(1).alias("height"), F.lit("gray8").alias("format"), data.alias("data"))
+
+
+def planar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes decoded to samples and encoded again."""
+    back = planes.encode(planes.decode(_text_frames(spark, sf_dir)))
+    return back.select(F.col("frame_index").alias("doc_id"), F.col("width").cast("long").alias("n"), F.sha2("data", 256).alias("sha"))
+
+
+def planar_crop_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the second half of every text's bytes, of those with four or more, by decode and crop, at a width for each text."""
+    lines = planes.decode(_text_frames(spark, sf_dir).where("width >= 4"))
+    half = F.floor(F.col("width") / 2).cast("int")
+    return lines.select(F.col("frame_index").alias("doc_id"), F.aggregate(F.slice("samples", half + 1, F.size("samples")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+QUERIES["planar_round_trip"], QUERIES["planar_crop_sums"] = planar_round_trip, planar_crop_sums
+SQL["planar_round_trip"] = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, sha256(text) AS sha FROM documents WHERE octet_length(encode(text)) > 0"
+SQL["planar_crop_sums"] = """
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) >= 4),
+p AS (SELECT doc_id, unnest(list_transform(range(length(h) // 4, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS v FROM b)
+SELECT doc_id, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY doc_id"""

@@ -30,19 +30,27 @@ def bitrate_kbps(size: Column, frames: Column, fps: Column) -> Column:
     return F.when((fps > 0) & (frames > 0), size * 8 / (frames / fps) / 1000)
 
 
+def _finite(c: Column) -> Column:
+    return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def _rate(c: Column) -> Column:
+    return _finite(c) & F.coalesce(c > 0, F.lit(False))
+
+
 def tradeoff_score(fps_ratio: Column, byte_ratio: Column, d_psnr: Column) -> Column:
-    """Each term counts only where its ratio is finite and positive."""
-    ok = lambda r: r.isNotNull() & ~F.isnan(r) & (r > 0) & (r < float("inf"))
+    """Each term counts only where it is finite, and positive if a ratio; null where no term counts."""
     term = lambda c, x: F.coalesce(F.when(c, x), F.lit(0.0))
-    return term(ok(fps_ratio), 10 * F.log2(fps_ratio)) + term(ok(byte_ratio), 4 * F.log2(1 / byte_ratio)) + term(d_psnr.isNotNull() & ~F.isnan(d_psnr) & (F.abs(d_psnr) < float("inf")), 8 * d_psnr)
+    score = term(_rate(fps_ratio), 10 * F.log2(fps_ratio)) + term(_rate(byte_ratio), 4 * F.log2(1 / byte_ratio)) + term(_finite(d_psnr), 8 * d_psnr)
+    return F.when(_rate(fps_ratio) | _rate(byte_ratio) | _finite(d_psnr), score)
 
 
 def tradeoff_status(score: Column, fps_ratio: Column, byte_ratio: Column, d_psnr: Column) -> Column:
-    """Hard regressions first, then by score; what is watched is never accepted outright."""
-    hard = (fps_ratio < 0.90) | (byte_ratio > 1.20) | (d_psnr < -1.0)
-    watched = F.coalesce((d_psnr < -0.30) | (byte_ratio > 1.05), F.lit(False))
-    fast = fps_ratio.isNull() | (fps_ratio >= 1.10)
-    return F.when(F.coalesce(hard, F.lit(False)), "regress").when((score >= 2) & fast, F.when(watched, "watch").otherwise("accept")).when(score >= 0, "watch").otherwise("regress")
+    """Hard regressions first, then by score; what is watched is never accepted outright. A term that does not count in the score decides nothing; null without a score."""
+    hard = (_rate(fps_ratio) & (fps_ratio < 0.90)) | (_rate(byte_ratio) & (byte_ratio > 1.20)) | (_finite(d_psnr) & (d_psnr < -1.0))
+    watched = (_finite(d_psnr) & (d_psnr < -0.30)) | (_rate(byte_ratio) & (byte_ratio > 1.05))
+    fast = ~_rate(fps_ratio) | (fps_ratio >= 1.10)
+    return F.when(score.isNull(), None).when(hard, "regress").when((score >= 2) & fast, F.when(watched, "watch").otherwise("accept")).when(score >= 0, "watch").otherwise("regress")
 
 
 def parse_pixel_format(text: Column) -> Column:

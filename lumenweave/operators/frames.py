@@ -38,13 +38,15 @@ def blocks(s: DataFrame, size: int) -> DataFrame:
 
 
 def histogram(s: DataFrame, size: int = 8) -> DataFrame:
-    """(frame, gy, gx, v0, n, first): each block's values, their counts and first raster place in the block."""
+    """(frame, gy, gx, v0, n, first): each full block's values, their counts and first raster place in the block. Blocks cut by an edge are left out."""
     place = (F.col("y") % size) * size + F.col("x") % size
-    return blocks(s, size).groupBy("frame", "gy", "gx", "v0").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    g = blocks(s, size).groupBy("frame", "gy", "gx", "v0").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return g.withColumn("all", F.sum("n").over(Window.partitionBy("frame", "gy", "gx"))).where(F.col("all") == size * size).drop("all")
 
 
 def palette_worthy(s: DataFrame, size: int = 8) -> DataFrame:
-    return blocks(s, size).groupBy("frame", "gy", "gx").agg(F.countDistinct("v0").alias("colours")).withColumn("worthy", F.col("colours").between(2, 4))
+    """(frame, gy, gx, colours, worthy) of full blocks: worthy with two to four values."""
+    return histogram(s, size).groupBy("frame", "gy", "gx").agg(F.count("*").alias("colours")).withColumn("worthy", F.col("colours").between(2, 4))
 
 
 def mean_sse(s: DataFrame, size: int) -> DataFrame:
@@ -57,9 +59,10 @@ def mean_sse(s: DataFrame, size: int) -> DataFrame:
 
 
 def split_gain(s: DataFrame, size: int) -> DataFrame:
-    """What quartering a block saves in squared error, not under zero."""
+    """What quartering a full block saves in squared error, not under zero. Blocks cut by an edge are left out."""
     kids = mean_sse(s, size // 2).groupBy("frame", F.floor(F.col("gy") / 2).alias("gy"), F.floor(F.col("gx") / 2).alias("gx")).agg(F.sum("sse").alias("kids"))
-    return mean_sse(s, size).join(kids, ["frame", "gy", "gx"]).select("frame", "gy", "gx", F.greatest(F.lit(0), F.col("sse") - F.col("kids")).alias("gain"))
+    n = blocks(s, size).groupBy("frame", "gy", "gx").agg(F.count("*").alias("n")).where(F.col("n") == size * size)
+    return mean_sse(s, size).join(n, ["frame", "gy", "gx"], "left_semi").join(kids, ["frame", "gy", "gx"]).select("frame", "gy", "gx", F.greatest(F.lit(0), F.col("sse") - F.col("kids")).alias("gain"))
 
 
 def repeated_frames(s: DataFrame) -> DataFrame:

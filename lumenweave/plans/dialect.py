@@ -46,6 +46,7 @@ class Spark:
     fixed = staticmethod(lambda x, n: f"format_string('%.{n}f', CAST({x} AS DOUBLE))")
     binary = staticmethod(lambda x: f"bin({x})")
     argmin = staticmethod(lambda v, k: f"min_by({v}, struct({k}))")
+    listed = staticmethod(lambda name, n: f"array_join(transform(array_sort(collect_list(struct(-{n} AS k, {name} AS v))), x -> concat(x.v, '=', -x.k)), ',')")
     values = staticmethod(lambda rows, names: f"(SELECT * FROM VALUES {rows} AS t({names}))")
 
 
@@ -85,6 +86,7 @@ class Oracle(Spark):
     fixed = staticmethod(lambda x, n: f"format('{{:.{n}f}}', CAST({x} AS DOUBLE))")
     binary = staticmethod(lambda x: f"bin({x})")
     argmin = staticmethod(lambda v, k: f"arg_min({v}, row({k}))")
+    listed = staticmethod(lambda name, n: f"string_agg({name} || '=' || {n}, ',' ORDER BY {n} DESC, {name})")
     values = staticmethod(lambda rows, names: f"(SELECT * FROM (VALUES {rows}) AS t({names}))")
 
 
