@@ -605,7 +605,7 @@ def test_stages_remove_what_they_must(spark):
         (900_005, clean("e") + "\n" + passage), (900_006, clean("f") + "\n" + passage), (900_007, clean("g")), (900_007, clean("g")), (900_008, None), (900_009, ""), (None, clean("z")), (900_010, clean("long", 60_000)),
     ]
     rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in planted], DOC)
-    now = docs.limit(200).select("doc_id", "text", "lang", "source", "n_chars").union(rows).withColumn("predicted", F.lit("x"))
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars").union(rows).withColumn("predicted", F.lit("x"))
     held = lambda df: sorted(str((r["doc_id"], (r["text"] or "")[:6], len(r["text"] or ""))) for r in df.where("doc_id >= 900000 or doc_id is null").collect())
     name = lambda i, t: str((i, (t or "")[:6], len(t or "")))
     gone = {
@@ -616,7 +616,7 @@ def test_stages_remove_what_they_must(spark):
         assert out.columns == corpus_pipeline.COLUMNS and out.dtypes == docs.select(*corpus_pipeline.COLUMNS).dtypes
         want = sorted(name(*p) for p in planted)
         if n == "near_copies":
-            lost = lost[:3] + ([planted[0]] if docs.limit(200).where(F.col("text") == bad).count() else []) + [planted[1]]
+            lost = [*lost, planted[0]]  # the text of the first two is that of a document of the table
         for p in lost:
             want.remove(name(*p))
         assert held(out) == want, n
