@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.functions import bits, scalars, specs
-from lumenweave.operators import checks, features, frames, planes, prediction, transforms
-from lumenweave.plans import filters, kernels
+from lumenweave.operators import checks, features, frames, motion, planes, prediction, transforms
+from lumenweave.plans import filters, kernels, records
 from lumenweave.plans import frames_sql as S
 from lumenweave.plans.reports import PLANS
 from lumenweave.sources import patterns, traces, units
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()} | kernels.QUERIES
-SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()} | kernels.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in PLANS.items()} | kernels.QUERIES | records.QUERIES
+SQL: dict[str, str] = {k: v[1] for k, v in PLANS.items()} | kernels.SQL | records.SQL
 
 
 def _frames(name: str, build: Callable[[SparkSession], DataFrame], sql: str) -> None:
@@ -283,3 +283,35 @@ SQL["planar_crop_sums"] = """
 WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) >= 4),
 p AS (SELECT doc_id, unnest(list_transform(range(length(h) // 4, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS v FROM b)
 SELECT doc_id, CAST(sum(v) AS BIGINT) AS total FROM p GROUP BY doc_id"""
+
+
+def simple_text_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of leaves of each text's whole lines of 64 bytes: the bytes themselves, an eighth of them, or a ramp that they disturb."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("frame"), F.encode("text", "UTF-8").alias("b")).where("octet_length(b) >= 64")
+    at = F.expr("explode(transform(sequence(0, CAST(ceil(octet_length(b) DIV 64 / 4) AS INT) * 16 - 1), i -> struct(CAST(i DIV 16 * 4 AS BIGINT) AS y, CAST(i % 16 * 4 AS BIGINT) AS x)))")
+    s = d.select("frame", "b", at.alias("at")).select("frame", "at.y", "at.x", F.expr("CAST(conv(hex(substring(b, CAST(at.y * 64 + at.x + 1 AS INT), 1)), 16, 10) AS BIGINT)").alias("v"))
+    ramp = F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8) % 8 + F.when(F.col("v") > 120, 1).otherwise(0)
+    v0 = F.when(F.col("frame") % 3 == 0, F.col("v")).when(F.col("frame") % 3 == 1, F.floor(F.col("v") / 8)).otherwise(ramp)
+    return features.simple_leaves(s.select("frame", "y", "x", v0.alias("v0"))).withColumnRenamed("frame", "doc_id")
+
+
+QUERIES["simple_text_leaves"] = simple_text_leaves
+SQL["simple_text_leaves"] = """
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) // 64 AS n FROM documents WHERE octet_length(encode(text)) >= 64),
+p AS (SELECT doc_id, h, unnest(range((n + 3) // 4 * 16)) AS i FROM b),
+r AS (SELECT doc_id, i // 16 * 4 AS y, i % 16 * 4 AS x, CAST('0x' || substr(h, 2 * (i // 16 * 4 * 64 + i % 16 * 4) + 1, 2) AS BIGINT) AS v FROM p),
+s AS (SELECT doc_id, y // 64 AS gy, x // 64 AS gx, y, x, CASE doc_id % 3 WHEN 0 THEN v WHEN 1 THEN v // 8 ELSE x // 8 + y // 8 % 8 + CASE WHEN v > 120 THEN 1 ELSE 0 END END AS v FROM r),
+d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY doc_id, gy, gx, y ORDER BY x)) AS l, abs(v - lag(v) OVER (PARTITION BY doc_id, gy, gx, x ORDER BY y)) AS u FROM s),
+g AS (SELECT doc_id, gy, gx, count(DISTINCT v) AS colours, max(v) - min(v) AS spread, CAST(coalesce((coalesce(sum(l), 0) + coalesce(sum(u), 0)) * 256 // nullif(count(l) + count(u), 0), 0) AS BIGINT) AS gradient FROM d GROUP BY doc_id, gy, gx)
+SELECT *, colours <= 8 OR spread <= 8 OR (colours <= 16 AND gradient <= 192) AS simple FROM g"""
+
+
+def motion_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search statistics of texts as frames of words, eight blocks wide, each against the text whose doc_id is one less."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null")
+    b = d.select(F.col("doc_id").alias("frame"), F.posexplode(F.split("text", " ")).alias("i", "d"))
+    b = b.select("frame", F.floor(F.col("i") / 8).alias("gy"), (F.col("i") % 8).cast("long").alias("gx"), "d")
+    return motion.statistics(motion.candidates(b)).withColumnRenamed("frame", "doc_id")
+
+
+QUERIES["motion_of_texts"] = motion_of_texts  # decisions that depend on earlier ones are not SQL: tests/test_records.py has a plain version

@@ -39,3 +39,22 @@ def copy_statistics(s: DataFrame, size: int = 8) -> DataFrame:
     far = F.abs(F.col("gy") - F.col("from_gy")) + F.abs(F.col("gx") - F.col("from_gx"))
     got = copies_within(s, size).groupBy("frame").agg(F.count("*").alias("copied"), F.sum(far).alias("distance"))
     return full.join(got, "frame", "left").select("frame", "blocks", F.coalesce("copied", F.lit(0)).alias("copied"), F.coalesce("distance", F.lit(0)).alias("distance"))
+
+
+def simple_leaves(s: DataFrame, leaf: int = 64, depth: int = 8) -> DataFrame:
+    """(frame, gy, gx, colours, spread, gradient, simple): features of each leaf's samples at every fourth line and column, brought to 8 bits.
+
+    gradient is the mean difference to the left and upper sample times 256, cut; a leaf is simple with 8 colours or fewer, a spread of 8 or less, or
+    16 colours and a gradient of 192 at most. Leaves that an edge cuts count by what they hold. A leaf's samples are one bounded list.
+    """
+    grid = blocks(s.where((F.col("y") % 4 == 0) & (F.col("x") % 4 == 0)), leaf)
+    own = F.array_sort(F.collect_list(F.struct("y", "x", F.shiftright("v0", max(0, depth - 8)).alias("v"))))
+    g = grid.groupBy("frame", "gy", "gx").agg(own.alias("o"), F.count_distinct("x").alias("c"), F.count_distinct("y").alias("r"))
+    g = g.withColumn("v", F.transform("o", lambda e: e["v"]))
+    left = "IF(i % c > 0, abs(e - v[i - 1]), 0)"
+    above = "IF(i >= c, abs(e - v[CAST(i - c AS INT)]), 0)"
+    total = F.expr(f"aggregate(transform(v, (e, i) -> CAST({left} + {above} AS BIGINT)), CAST(0 AS BIGINT), (a, b) -> a + b)")
+    edges = F.col("r") * (F.col("c") - 1) + (F.col("r") - 1) * F.col("c")
+    g = g.select("frame", "gy", "gx", F.size(F.array_distinct("v")).cast("long").alias("colours"), (F.array_max("v") - F.array_min("v")).alias("spread"), F.when(edges > 0, F.floor(total * 256 / F.greatest(edges, F.lit(1)))).otherwise(0).alias("gradient"))
+    simple = (F.col("colours") <= 8) | (F.col("spread") <= 8) | ((F.col("colours") <= 16) & (F.col("gradient") <= 192))
+    return g.withColumn("simple", simple)

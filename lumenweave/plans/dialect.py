@@ -42,7 +42,6 @@ class Spark:
     inf = "double('infinity')"
     sha256 = staticmethod(lambda x: f"sha2({x}, 256)")
     year = staticmethod(lambda x: f"year({x})")
-    json_k = staticmethod(lambda x: f"CAST(get_json_object({x}, '$.k') AS BIGINT)")
     fixed = staticmethod(lambda x, n: f"format_string('%.{n}f', CAST({x} AS DOUBLE))")
     binary = staticmethod(lambda x: f"bin({x})")
     argmin = staticmethod(lambda v, k: f"min_by({v}, struct({k}))")
@@ -82,7 +81,6 @@ class Oracle(Spark):
     inf = "CAST('inf' AS DOUBLE)"
     sha256 = staticmethod(lambda x: f"sha256({x})")
     year = staticmethod(lambda x: f"CAST(year({x}) AS INTEGER)")
-    json_k = staticmethod(lambda x: f"CAST(json_extract_string({x}, '$.k') AS BIGINT)")
     fixed = staticmethod(lambda x, n: f"format('{{:.{n}f}}', CAST({x} AS DOUBLE))")
     binary = staticmethod(lambda x: f"bin({x})")
     argmin = staticmethod(lambda v, k: f"arg_min({v}, row({k}))")

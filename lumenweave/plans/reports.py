@@ -26,7 +26,6 @@ SELECT o_orderstatus, k, o_orderpriority, pct FROM (
   SELECT o_orderstatus, o_orderpriority, round(n * 100e0 / sum(n) OVER (PARTITION BY o_orderstatus), 4) AS pct, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS k
   FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority) a) b WHERE k <= 3""")
 _add("merge_duplicates_last_wins", lambda s: "SELECT user_id, event_type, round(sum(value), 4) AS total, max_by(props, event_id) AS last_props FROM events GROUP BY user_id, event_type")
-_add("map_merge", lambda s: f"SELECT event_type, CAST(sum({s.json_k('props')}) AS BIGINT) AS k, count({s.json_k('props')}) AS n FROM events GROUP BY event_type")
 _add("distinct_per_group", lambda s: "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY event_type")
 _add("once_per_key_sum", lambda s: """
 SELECT o_orderstatus, round(sum(o_totalprice), 2) AS price_once, CAST(sum(n) AS BIGINT) AS line_rows FROM orders
@@ -50,7 +49,6 @@ SELECT path, round(sum(direct), 2) AS inclusive, round(sum(CASE WHEN path = p TH
   SELECT {s.explode_prefixes('p')} AS path, p, direct FROM (
     SELECT concat(concat(concat(concat(r_name, '.'), n_name), '.'), c_mktsegment) AS p, sum(c_acctbal) AS direct FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name, c_mktsegment) d) e GROUP BY path""")
 _add("tail_share", lambda s: "SELECT l_returnflag, sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) AS tail, round(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END) * 100e0 / count(*) END, 6) AS pct FROM lineitem GROUP BY l_returnflag")
-_add("mode_histogram", lambda s: "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size")
 _add("named_counters", lambda s: f"SELECT concat(concat(event_type, '/'), {s.text('user_id % 5')}) AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 _add("attributed_deltas", lambda s: "SELECT user_id, sum(d) AS gained FROM (SELECT user_id, event_id - lag(event_id, 1, 0) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS d FROM events) t GROUP BY user_id")
 _add("conditional_counts", lambda s: "SELECT count(*) AS total, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS selected, sum(CASE WHEN NOT value > 50 THEN 1 ELSE 0 END) AS rejected FROM events")
@@ -102,7 +100,6 @@ _add("key_intersection", lambda s: "SELECT l_partkey FROM lineitem WHERE l_retur
 _add("union_of_traces", lambda s: "SELECT user_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, value FROM events WHERE value > 50")
 _add("ordered_distinct", lambda s: "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first_id) AS pos FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) t")
 _add("anti_seen_set", lambda s: "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-_add("ancestor_distinct", lambda s: "SELECT n_regionkey, n_name FROM nation GROUP BY n_regionkey, n_name")
 # --- text forms and predicates
 _add("counter_prefix_filter", lambda s: "SELECT p_partkey, p_name FROM part WHERE (p_name LIKE 'a%' OR p_name LIKE 'b%' OR p_name LIKE 'part%') AND NOT p_name LIKE '%7'")
 _add("null_list_gate", lambda s: "SELECT doc_id FROM documents WHERE lang IS NULL OR lang IN ('en', 'fr')")
@@ -120,8 +117,6 @@ _add("qp_maps", lambda s: f"SELECT i AS qp, least(255, {s.div('i * 10 + 2', 3)})
 _add("geometry_checks", lambda s: f"""
 SELECT i AS w, {s.div('i * 7', 8)} AS h, i > 0 AND {s.div('i * 7', 8)} > 0 AS positive, i % 2 = 0 AND {s.div('i * 7', 8)} % 2 = 0 AS fits_420, i % 2 = 0 AS fits_422, i >= 8 AND {s.div('i * 7', 8)} >= 8 AND i % 8 = 0 AND {s.div('i * 7', 8)} % 8 = 0 AS fits_8 FROM {s.range(80)} t""")
 _add("metric_lines", lambda s: f"SELECT event_id, concat(concat('frame: index=', {s.text('event_id')}), concat(' psnr_all=', CASE WHEN event_id % 9 = 0 THEN 'inf' ELSE {s.fixed('value', 3)} END)) AS line FROM events")
-_add("frame_limit", lambda s: "SELECT event_id FROM events WHERE event_id < least(500, (SELECT max(event_id) FROM events))")
-_add("metadata_precedence", lambda s: "SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN 'explicit' END, CASE WHEN l.quality = 1 THEN 'header' END, d.source) AS chosen FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 _add("last_duplicate_wins", lambda s: "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) t WHERE k = 1")
 _add("round_trip_difference", lambda s: "SELECT count(*) AS differing FROM (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity > 10) t")
 _add("nested_stage_lists", lambda s: f"SELECT l_linenumber AS module, {s.listed('l_returnflag', 'n')} AS stages FROM (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_linenumber, l_returnflag) g GROUP BY l_linenumber")
