@@ -129,18 +129,18 @@ def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds
         now = now.join(value.select(m, (F.col("tokens") * F.col("probability")).alias(f"goal_{m}")), m)
     few = raked.count() <= ONE_TASK
     now = _gathered(cut(now), few)
-    for _ in range(-(-rounds // STRIDE)):
-        for _ in range(STRIDE):
-            off = F.lit(0.0)
-            for m in goals:
-                one = Window.partitionBy(m)
-                up = one.orderBy("p", *CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                kept = [c for c in now.columns if c not in ("p", "off")]
-                held = F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one)
-                factor = (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up)
-                now = now.select(*kept, "p", F.greatest(off, F.abs(held / F.col(f"goal_{m}") - 1)).alias("off"), factor.alias("factor"))
-                now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(one)).alias("p"))
-                off = F.col("off")
+    for _ in range(rounds):
+        off = F.lit(0.0)
+        for m in goals:
+            # one order for all windows of a margin: one sort, and two passes over it
+            order = Window.partitionBy(m).orderBy("p", *CELL)
+            up, one = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            kept = [c for c in now.columns if c not in ("p", "off")]
+            held = F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one)
+            factor = (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up)
+            now = now.select(*kept, "p", F.greatest(off, F.abs(held / F.col(f"goal_{m}") - 1)).alias("off"), factor.alias("factor"))
+            now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(one)).alias("p"))
+            off = F.col("off")
         now = _gathered(cut(now), few)
         error = now.agg(F.max("off")).first()[0] or 0.0
         now = now.drop("off")
