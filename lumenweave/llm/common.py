@@ -70,6 +70,7 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
     while len(_written) > since:
         path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()  # the driver lets go of the plans and classes of what is done
 
 
 def mark() -> int:

@@ -40,8 +40,6 @@ def targets(cells: DataFrame, margin: str, flatten: float) -> DataFrame:
     return t.select(margin, (F.col("t") / F.lit(total)).alias("target"))
 
 
-#: rounds of raking in one job, after which lineage is cut and the error looked at
-STRIDE = 3
 #: cells up to this number are raked in one task, where no step of a round needs a shuffle; more are dealt by margin
 ONE_TASK = 50_000
 
@@ -77,37 +75,27 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
     few = cells.count() <= ONE_TASK
     now, error, done = _gathered(cut(now), few), float("inf"), 0
     while True:
-        for _ in range(STRIDE):  # rounds of one job
-            off = F.lit(0.0)
-            for m in goals:
-                ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
-                now = _held(now, m, few).select(*[c for c in now.columns if c not in ("weight", "off")], (F.col("weight") * ratio).alias("weight"), F.greatest(off, F.abs(ratio - 1)).alias("off"))
-                off = F.col("off")
+        off = F.lit(0.0)
+        for m in goals:
+            ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
+            now = _held(now, m, few).select(*[c for c in now.columns if c not in ("weight", "off")], (F.col("weight") * ratio).alias("weight"), F.greatest(off, F.abs(ratio - 1)).alias("off"))
+            off = F.col("off")
         now = _gathered(cut(now), few)
-        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + STRIDE
+        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + 1
         now = now.drop("off")
-        if error <= fit or (done >= rounds and error > 0.99**STRIDE * before):
+        if error <= fit or (done >= rounds and error > 0.99 * before):
             break
     return now.drop(*[f"goal_{m}" for m in goals]), float(error)
 
 
-def calibrate(cells: DataFrame, share: float) -> DataFrame:
-    """cells with `probability`: min(1, factor * weight / tokens), with expected tokens share * all, or all of positive weight if they are fewer."""
-    got = cells.agg(F.sum("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens")))).first()
-    want = min(share * (got[0] or 0), got[1] or 0)
-    factor, ratio = 0.0, F.col("weight") / F.col("tokens")
-    live = cells.where("tokens > 0 and weight > 0")
-    for _ in range(100):  # each round some cell more is taken whole, or the factor stands
-        whole = (ratio * F.lit(factor) >= 1 - 1e-12) if factor else F.lit(False)
-        r = live.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(whole, 0.0).otherwise(F.col("weight"))).alias("w")).first()
-        if not r["w"]:
-            break
-        new = max((want - (r["t"] or 0)) / r["w"], factor)
-        if new <= factor * (1 + 1e-12):
-            break
-        factor = new
-    p = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.least(F.lit(1.0), ratio * F.lit(float(factor)))).otherwise(0.0)
-    return cells.withColumn("probability", p)
+def _scaled(p: str, order: Window, goal: Column) -> tuple[Column, Column]:
+    """(all tokens' share held at p, candidate of the factor of p that holds `goal`) over an order by p in which shares over 1 are whole.
+
+    The candidate is right if just the rows after this one are whole; the largest of them is the factor.
+    """
+    up, one = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = F.sum(F.col("tokens") * F.least(F.lit(1.0), p)).over(one)
+    return held, (goal - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col(p)).over(up)
 
 
 def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds: int = 60, fit: float = 1e-4) -> DataFrame:
@@ -124,22 +112,22 @@ def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds
     live = raked.where("tokens > 0 and weight > 0")
     now = live.withColumn("p", F.col("weight") / F.col("tokens") * F.lit(float(want)))
     for m, g in goals.items():  # what each value is to have: its target of `want`, or all its tokens
-        values = cut(live.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(g.select(m, F.col("target").alias("weight")), m))
-        value = calibrate(values, want / full)
-        now = now.join(value.select(m, (F.col("tokens") * F.col("probability")).alias(f"goal_{m}")), m)
+        values = live.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(g.select(m, F.col("target").alias("weight")), m).where("weight > 0")
+        order = Window.partitionBy(F.lit(0)).orderBy("p", m)  # one row a value of the margin: sorted in one task, which may spill
+        value = values.withColumn("p", F.col("weight") / F.col("tokens"))
+        value = value.withColumn("factor", _scaled("p", order, F.lit(float(want)))[1])
+        value = value.withColumn("factor", F.max("factor").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        now = now.join(value.select(m, (F.col("tokens") * F.least(F.lit(1.0), F.col("p") * F.col("factor"))).alias(f"goal_{m}")), m)
     few = raked.count() <= ONE_TASK
     now = _gathered(cut(now), few)
     for _ in range(rounds):
         off = F.lit(0.0)
         for m in goals:
-            # one order for all windows of a margin: one sort, and two passes over it
-            order = Window.partitionBy(m).orderBy("p", *CELL)
-            up, one = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            order = Window.partitionBy(m).orderBy("p", *CELL)  # one order for all windows of a margin: one sort, and two passes over it
             kept = [c for c in now.columns if c not in ("p", "off")]
-            held = F.sum(F.col("tokens") * F.least(F.lit(1.0), "p")).over(one)
-            factor = (F.col(f"goal_{m}") - F.sum("tokens").over(one) + F.sum("tokens").over(up)) / F.sum(F.col("tokens") * F.col("p")).over(up)
+            held, factor = _scaled("p", order, F.col(f"goal_{m}"))
             now = now.select(*kept, "p", F.greatest(off, F.abs(held / F.col(f"goal_{m}") - 1)).alias("off"), factor.alias("factor"))
-            now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(one)).alias("p"))
+            now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("p"))
             off = F.col("off")
         now = _gathered(cut(now), few)
         error = now.agg(F.max("off")).first()[0] or 0.0
