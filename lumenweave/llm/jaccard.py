@@ -10,12 +10,13 @@ sketches kept for every node, and the suffix filter on counts by range.
 
 The join is dealt by ranges of fingerprints, packed as binary blocks. Shingles of the frequent list
 and buckets over `most_pairs` documents are not paired off: their members are first tied to one
-pivot for each band of set sizes, connected components are formed, and only then are pairs across components
-tried, within neighbouring bands. Of these, a member is not tried against those that are verified close to a pivot when its
-sketch shows it to be too far from that pivot (Jaccard distance obeys the triangle inequality). So a group of copies costs
-links in proportion to its size, and no link between components is lost. What can still grow with the square of
+pivot for each band of set sizes (the member with the fewest rarer shingles, so the nearest to what the bucket has in
+common), connected components are formed, and only then are pairs across components tried, within neighbouring bands. Of
+these, a member is not tried against those that are verified close to a pivot when its sketch shows it to be too far from that
+pivot (Jaccard distance obeys the triangle inequality). So a group of copies costs links in proportion to its size, and no
+link between components is lost. What can still grow with the square of
 a bucket are documents that share a frequent rare-first shingle, have sets of like size, and are similar neither to
-each other nor to their pivot.
+each other nor to their pivot: variants of a text that is not itself there, which differ from it in other places each.
 
 Pairs are verified in blocks of bounded size, to which each set is sent once for a block.
 """
@@ -332,13 +333,14 @@ def _rest(member: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame
     mixed = cut(heavy_join(where, top, ["h"], "m"))
     if mixed.isEmpty():
         return mixed.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    hubs = hubs.select("h", "band", "p")
+    # one member is the pivot of many buckets of a group of near copies
+    pivots = cut(hubs.groupBy("p").agg(F.sum("m").alias("m")).join(nodes.select(F.col("node").alias("p"), F.col("bits").alias("pbits"), F.col("n").alias("pn")), "p"))
     near = links.select("a", "b").union(links.select("b", "a")).select(F.col("a").alias("p"), F.col("b").alias("node")).withColumn("spoke", F.lit(True))
-    y = mixed.join(hubs, ["h", "band"], "left").join(near, ["p", "node"], "left").select("h", "band", "node", "n", "place", "c", "main", (F.coalesce("spoke", F.lit(False)) | (F.col("p") == F.col("node"))).alias("spoke"))
+    y = mixed.join(hubs.drop("m"), ["h", "band"], "left").join(near, ["p", "node"], "left").select("h", "band", "node", "n", "place", "c", "main", (F.coalesce("spoke", F.lit(False)) | (F.col("p") == F.col("node"))).alias("spoke"))
     x = mixed.where("c <> main").select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "node", "n", "place", "c")
     # a member too far from a band's pivot p is too far from all that are within reach of p: similarity to p under 2 t - 1 rules them out
     bits = nodes.select("node", "bits")
-    x = x.join(hubs, ["h", "band"]).join(bits, "node").join(bits.select(F.col("node").alias("p"), F.col("bits").alias("pbits")), "p").join(nodes.select(F.col("node").alias("p"), F.col("n").alias("pn")), "p")
+    x = heavy_join(x.join(hubs.drop("m"), ["h", "band"]).join(bits, "node"), pivots, ["p"], "m")
     apart, both = _apart(F.col("bits"), F.col("pbits")), F.col("n") + F.col("pn")
     far = den * (both - apart) < (2 * num - den) * (both + apart)
     x = cut(x.select("h", "band", "node", "n", "place", "c", far.alias("far"))).alias("x")
@@ -382,7 +384,8 @@ def classes(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, hot_l
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num))).cast("int").alias("band")
     member = found.where("kind = 1").select("h", F.col("n").cast("long").alias("n"), "f1", "f2", "place").join(number, NAME).groupBy("h", "node", "n").agg(F.min("place").alias("place"))
     member = cut(member.select("h", band, "node", "n", "place"))
-    hubs = cut(member.groupBy("h", "band").agg(F.min("node").alias("p"), F.count("*").alias("m")))
+    # the pivot is the member with the fewest rarer shingles of its own: of a group of near copies, the one nearest to what they have in common
+    hubs = cut(member.groupBy("h", "band").agg(F.min_by("node", F.struct("place", "node")).alias("p"), F.count("*").alias("m")))
     star = heavy_join(member, hubs, ["h", "band"], "m").where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(docs, nodes, small.union(star), size, num, den)
     comp = cut(components(links))

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, on small tables with odd rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -351,6 +352,28 @@ def test_jaccard_buckets_of_unlike_texts(spark):
     assert got == want and len({c for _, c in want.values()}) > 5
 
 
+def test_jaccard_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    # every variant is linked with the text it was made from, and hardly with another; all share frequent shingles
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(150):
+        text = list(base)
+        for k in rng.sample(range(150), 3) if i != 75 else []:
+            text[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(text)))
+    tried, rest = [], jaccard._rest
+
+    def counted(*args):
+        pairs = rest(*args)
+        tried.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_rest", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), hot_least=16).collect()}
+    assert got == jaccard.brute_force(rows)
+    assert tried[0] <= len(rows)
+
+
 def test_quality(spark, small):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r for r in quality.resample(frame(spark, small), labels, share=0.5).collect()}
