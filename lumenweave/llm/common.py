@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import os
 import re
 import tempfile
@@ -53,6 +54,9 @@ def ship(spark: SparkSession) -> None:
 
 
 _written: list[str] = []
+_cuts = itertools.count(1)
+#: after this many cuts the driver collects its garbage
+COLLECT = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,6 +65,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lumenweave-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
+    if next(_cuts) % COLLECT == 0:  # loops of small jobs leave plans and classes behind, and the heap grows with them
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -122,28 +128,38 @@ def heavy_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, most:
     return near.union(far.select(*near.columns))
 
 
-def components(links: DataFrame) -> DataFrame:
+#: links up to this number are worked on in one task, where no step of a round needs a shuffle or a broadcast; more are dealt by node
+ONE_TASK = 200_000
+
+
+def components(links: DataFrame, *, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) for each id in a link, component being the least id.
 
     Alternates large-star and small-star steps, each a groupBy and a join, until no edge changes; the number of rounds grows with the
     logarithm of the links. Hub nodes are handled by partial aggregation and joins against one row a node; nothing is
-    collected, and each round's edges are cut to the shared folder.
+    collected, and each round's edges are cut to the shared folder. Up to `one_task` links stay in one partition, and the same steps
+    run there without an exchange: a round is then one small plan for the driver, not one for each exchange.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    first = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    few = first.count() <= one_task  # steps never add links: each edge gives one of the next round's at most
+    gathered = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    joined = (lambda df: df.hint("merge")) if few else (lambda df: df)  # both sides are in one partition already
+    turned = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    edges = gathered(first)
     before = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(turned.alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour of u is tied to u's least neighbour
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(joined(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
+        small = large.join(joined(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = gathered(cut(small))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
     star = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
-    return nodes.join(star, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
+    nodes = gathered(first).select(turned.alias("e")).select(F.col("e.u").alias("id")).distinct()
+    return nodes.join(joined(star), "id", "left").select("id", F.coalesce("m", "id").alias("component"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, uniform
@@ -49,6 +49,13 @@ def _gathered(cells: DataFrame, few: bool) -> DataFrame:
     return cells.coalesce(1) if few else cells
 
 
+def _round(cells: DataFrame, off: Column, few: bool) -> tuple[DataFrame, float]:
+    """(cells written, without `off`; the largest error, seen while they are written): one job a round, not a second one that reads them."""
+    seen = Observation()
+    out = cut(cells.observe(seen, F.max(off).alias("off")).drop("off"))
+    return _gathered(out, few), seen.get["off"] or 0.0
+
+
 def _held(cells: DataFrame, m: str, few: bool) -> DataFrame:
     """cells with `held`, the weight of all cells of the same value of m: by a window where they are in one partition already, else by partial sums
     and a join, cut as the plan would double with each."""
@@ -80,9 +87,8 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 30, fit
             ratio = F.when(F.col("held") > 0, F.coalesce(f"goal_{m}", F.lit(0.0)) / F.col("held")).otherwise(0.0)
             now = _held(now, m, few).select(*[c for c in now.columns if c not in ("weight", "off")], (F.col("weight") * ratio).alias("weight"), F.greatest(off, F.abs(ratio - 1)).alias("off"))
             off = F.col("off")
-        now = _gathered(cut(now), few)
-        before, error, done = error, now.where("weight > 0").agg(F.max("off")).first()[0] or 0.0, done + 1
-        now = now.drop("off")
+        now, largest = _round(now, F.when(F.col("weight") > 0, F.col("off")), few)
+        before, error, done = error, largest, done + 1
         if error <= fit or (done >= rounds and error > 0.99 * before):
             break
     return now.drop(*[f"goal_{m}" for m in goals]), float(error)
@@ -129,9 +135,7 @@ def bound(raked: DataFrame, goals: dict[str, DataFrame], share: float, *, rounds
             now = now.select(*kept, "p", F.greatest(off, F.abs(held / F.col(f"goal_{m}") - 1)).alias("off"), factor.alias("factor"))
             now = now.select(*kept, "off", (F.col("p") * F.max("factor").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("p"))
             off = F.col("off")
-        now = _gathered(cut(now), few)
-        error = now.agg(F.max("off")).first()[0] or 0.0
-        now = now.drop("off")
+        now, error = _round(now, F.col("off"), few)
         if error <= fit:
             break
     drawn = now.select(*CELL, F.least(F.lit(1.0), "p").alias("probability"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.llm import decontamination, jaccard, language, line_dedup, mixing, neighbours, quality, registry, toxicity, url_filter, warc
+from lumenweave.llm import common, decontamination, jaccard, language, line_dedup, mixing, neighbours, quality, registry, toxicity, url_filter, warc
 from lumenweave.llm.common import components, heavy_join
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +55,52 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(201)) and all(got[k] == 1000 for k in range(1000, 1100)) and got[5001] == 5000
 
 
+def _jobs(spark, f):
+    """What f returns, and how many jobs it ran."""
+    sc, group = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Gathered or dealt, the components are those of a plain union-find; gathered, a round takes the driver no job for each exchange."""
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(900 + k, 901 + k) for k in range(30)]
+    up = {x: x for ab in links for x in ab}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in up if any(x in ab and ab[0] != ab[1] for ab in links)}
+    run = lambda **how: {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), **how).collect()}
+    (got, few), (dealt, many) = _jobs(spark, run), _jobs(spark, lambda: run(one_task=0))
+    assert got == dealt == want
+    assert 4 * few < 3 * many
+
+
+def test_a_round_of_raking_is_one_job(spark):
+    """The error is seen while the round is written, and is that of the written cells."""
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", "t", rng.randrange(1, 1000)) for i in range(4) for j in range(3)], "source string, lang string, topic string, tokens long")
+    goals = {"source": spark.createDataFrame([(f"s{i}", 0.25) for i in range(4)], "source string, target double"), "lang": spark.createDataFrame([("l0", 0.6), ("l1", 0.3), ("l2", 0.1)], "lang string, target double")}
+    since = len(common._written)
+    (raked, error), jobs = _jobs(spark, lambda: mixing.rake(cells, goals, fit=0.0))
+    rounds = len(common._written) - since - 1
+    assert rounds >= 30 and jobs < 2 * rounds
+    rows = raked.collect()
+    for m, target in (("source", {f"s{i}": 0.25 for i in range(4)}), ("lang", {"l0": 0.6, "l1": 0.3, "l2": 0.1})):
+        assert all(abs(sum(r["weight"] for r in rows if r[m] == v) - t) < 1e-9 for v, t in target.items())
+    assert error < 1e-9
+
+
 def test_heavy_join(spark):
     """A key of half of all rows, and keys of one row."""
     rows = spark.createDataFrame([(0 if k % 2 else k, k) for k in range(400)], "a long, x long")
