@@ -308,10 +308,8 @@ SELECT *, colours <= 8 OR spread <= 8 OR (colours <= 16 AND gradient <= 192) AS
 
 def motion_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search statistics of texts as frames of words, eight blocks wide, each against the text whose doc_id is one less."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null")
-    b = d.select(F.col("doc_id").alias("frame"), F.posexplode(F.split("text", " ")).alias("i", "d"))
-    b = b.select("frame", F.floor(F.col("i") / 8).alias("gy"), (F.col("i") % 8).cast("long").alias("gx"), "d")
-    return motion.statistics(motion.candidates(b)).withColumnRenamed("frame", "doc_id")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return motion.text_statistics(d.select(F.col("doc_id").alias("frame"), "text"), 8).withColumnRenamed("frame", "doc_id")
 
 
 QUERIES["motion_of_texts"] = motion_of_texts  # decisions that depend on earlier ones are not SQL: tests/test_records.py has a plain version

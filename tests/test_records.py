@@ -1,5 +1,9 @@
 """Operators on records, leaves and motion candidates, against plain versions and at their edges."""
 
+import random
+import time
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenweave import catalog
@@ -102,3 +106,73 @@ def test_candidates_against_a_plain_version(spark):
 def test_motion_of_texts(spark):
     got = catalog.QUERIES["motion_of_texts"](spark, SF)
     assert got.where("checks <> outside + unequal + zero + neighbour + local").count() == 0 and got.count() > 0
+
+
+def grids(rng):
+    """Frames and references: of few or many contents, with holes, without content, moved, far from the origin."""
+    for trial in range(60):
+        w, h, most, gaps, far = rng.choice([(8, 20), (1, 30), (12, 10), (3, 3), (20, 20)]) + (rng.choice([2, 5, 20, 40]), rng.choice([0, 0.1, 0.5]), rng.choice([0, -5, 7]))
+        now, was = ({(y + far, x + far): None if rng.random() < 0.02 else str(rng.randrange(most)) for y in range(h) for x in range(w + k) if rng.random() >= gaps} for k in (0, trial % 3))
+        if trial % 3 == 0:
+            dy, dx = rng.randrange(-12, 13), rng.randrange(-6, 7)
+            now = {(y, x): was.get((y + dy + (y // 7 if trial % 2 else 0), x + dx), d) for (y, x), d in now.items()}
+        yield now, was
+    yield {(0, 0): "a", (0, 10**9): "b"}, {(0, 0): "a", (-1, 10**9): "b"}
+
+
+def table(now, was):
+    rows = [(y, x, d, back) for back, side in enumerate((now, was)) for (y, x), d in side.items()]
+    return pa.table(dict(zip(("gy", "gx", "d", "back"), (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)), strict=True)))
+
+
+def test_many_blocks_at_once_as_one_by_one():
+    for now, was in grids(random.Random(3)):
+        cols = [c.to_pylist() if isinstance(c, pa.Array) else list(c) for c in motion._one_frame(table(now, was))]
+        assert list(zip(*cols, strict=True)) == motion.decide(now, was)
+
+
+def test_blocks_cost_little():
+    """A large frame without matches: all candidates of every block. One block at a time took some 25 us a block."""
+    now, was = ({(i // 8, i % 8): f"{k}{i}" for i in range(40_000)} for k in "ab")
+    rows, began = table(now, was), time.process_time()
+    assert len(motion._one_frame(rows)[0]) == 40_000
+    took, began = time.process_time() - began, time.process_time()
+    motion.decide(now, was)
+    assert 4 * took < time.process_time() - began
+
+
+def texts(rng):
+    words = lambda n, most: " ".join(rng.choice(["", "a", "b"]) if rng.random() < 0.1 else str(rng.randrange(most)) for _ in range(n))
+    rows = [(k, words(rng.randrange(1, 300), rng.choice([3, 30, 300]))) for k in (*range(-70, -60), *range(0, 140), 200, 255, 256, -(2**63), 2**63 - 2)]
+    return rows + [(201, ""), (202, "  "), (203, rows[-1][1]), (204, rows[-1][1] + " x"), (None, "a"), (300, None), (5, "0 1 2"), (64, words(400, 9))]
+
+
+def plain_totals(rows):
+    sides = {}
+    for k, t in sorted((k, t) for k, t in rows if k is not None and t is not None):
+        sides.setdefault(k, {}).update({divmod(i, 8): d for i, d in enumerate(t.split(" "))})
+    out = []
+    for k in sorted(sides):
+        if k - 1 in sides:
+            got = motion.decide(sides[k], sides[k - 1])
+            out.append((k, len(got), *(sum(r[i] for r in got) for i in (5, 6, 7)), *(sum(r[4] == kind for r in got) for kind in motion.KINDS)))
+    return out
+
+
+def test_texts_as_frames(spark):
+    """Texts at the edges of what is dealt out together, with the same number, without words, numbers far apart; and whatever is in hand at once."""
+    rows = texts(random.Random(8))
+    want = plain_totals(rows)
+    df = motion.text_statistics(spark.createDataFrame(rows, "frame long, text string").repartition(7), 8)
+    assert sorted(map(tuple, df.collect())) == want
+    assert df.columns == ["frame", "blocks", "checks", "outside", "unequal", "zero", "neighbour", "local"]
+    known = sorted(r for r in rows if None not in r)
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b], pa.int64()), pa.array([True] * len(b)), pa.array([r[1] for r in b])], names=["frame", "own", "text"]) for b in (known[:50], known[50:51], known[51:])]
+    for part in (1, 700, 10**6):
+        assert [tuple(r.values()) for out in motion._totals(iter(batches), 8, part) for r in out.to_pylist()] == want
+
+
+def test_motion_of_texts_deals_out_texts(spark):
+    """Texts are dealt out whole: there is no row for a word."""
+    plan = catalog.QUERIES["motion_of_texts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan
