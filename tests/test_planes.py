@@ -1,8 +1,12 @@
 """Decode, crop, scale, distortion and encode of binary frames against numpy, for every kind of format."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lumenweave import catalog
 from lumenweave.operators import features, planes
 from lumenweave.sources.video import FrameError, frame_size
 from lumenweave.streaming import delays
@@ -62,6 +66,60 @@ def test_errors(spark):
         planes.bytes_of([np.array([[256]])], "gray8")
 
 
+def batches(rows, schema, size):
+    return [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[k : k + size]], schema) for k in range(0, len(rows), size)]
+
+
+ARROW = pa.schema([("path", pa.string()), ("frame_index", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("format", pa.string()), ("data", pa.binary())])
+
+
+def test_frames_of_all_formats_together(spark):
+    """Sizes and formats mixed, no path, the same number on several paths; in any batches, lines in any order."""
+    rows = [(None if k == 1 else fmt, k, w, h, fmt, np.random.default_rng(k).integers(0, 256, frame_size(w, h, fmt), np.uint8).tobytes()) for fmt in FORMATS for k, (w, h) in enumerate(((4, 2), (6, 4), (20, 12), (2, 8)))]
+    rows += [("b", 0, 3, 1, "gray8", b"abc")]
+    df = spark.createDataFrame(rows, FRAME)
+    lines = planes.decode(df)
+    want = sorted(rows, key=repr)
+    assert sorted((tuple(r[:5]) + (bytes(r[5]),) for r in planes.encode(lines.repartition(5, "samples")).collect()), key=repr) == want
+    for size in (1, 3, len(rows)):
+        made = [r for b in planes._lines(iter(batches(rows, ARROW, size))) for r in b.to_pylist()]
+        assert len(made) == lines.count()
+        kept = pa.Table.from_batches(planes._packed(iter([pa.RecordBatch.from_pylist(made, pa.schema([*list(ARROW)[:5], ("plane", pa.int32()), ("y", pa.int32()), ("samples", pa.list_(pa.int32()))]))])))
+        kept = kept.sort_by([(c, "ascending") for c in (*planes.KEY, "plane", "y")])
+        got = [tuple(r.values()) for b in planes._joined(iter(kept.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got, key=repr) == want
+
+
+def test_lines_that_do_not_make_frames(spark):
+    line = lambda y=0, v=(1, 2), w=2, h=1, fmt="gray8", k=0: ("a", 1, w, h, fmt, k, y, None if v is None else list(v))
+    for bad, why in (
+        ([line(1)], "lacks lines"), ([line(), line()], "lacks lines"), ([line(h=2)], "lacks lines"), ([line(), line(k=1)], "lacks lines"), ([line(None)], "lacks lines"), ([line(h=4, fmt="yuv420p8", y=y) for y in range(4)], "lacks lines"),
+        ([line(v=(1,))], "length"), ([line(v=(1, 2, 3))], "length"), ([line(v=(1, 256))], "does not fit"), ([line(v=(-1, 2))], "does not fit"), ([line(v=(1, 65536), fmt="gray12le")], "does not fit"),
+        ([line(v=(1, None))], "lacks samples"), ([line(v=None)], "lacks samples"), ([line(fmt="gray7")], "no such format"),
+    ):
+        with pytest.raises(Exception, match=why):
+            planes.encode(spark.createDataFrame(bad, planes.LINES)).collect()
+
+
+def test_samples_cost_little():
+    """Packing and joining lines costs less than it takes to make a Python number of each sample."""
+    n, w = 400, 5000
+    v = pa.array(np.random.default_rng(4).integers(0, 256, n * w).astype(np.int32))
+    keys = [pa.array(["a"] * n), pa.array(range(n), pa.int64()), pa.array([w] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(["gray8"] * n), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32())]
+    batch = pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), v)], names=[*planes.KEY, "plane", "y", "samples"])
+    began = time.process_time()
+    assert sum(b.num_rows for b in planes._joined(planes._packed(iter([batch])))) == n
+    took, began = time.process_time() - began, time.process_time()
+    batch.to_pylist()
+    assert 4 * took < time.process_time() - began
+
+
+def test_round_trip_deals_out_bytes(spark):
+    """What is dealt out by frame are a line's bytes; lists of numbers are neither shuffled nor gathered."""
+    plan = catalog.QUERIES["planar_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange") == 1
+
+
 def test_residual_energy_and_simple_blocks(spark):
     rng = np.random.default_rng(2)
     v = np.where(rng.random((16, 24)) < 0.5, 60, 200)
