@@ -20,6 +20,7 @@ REACH = max(STEPS) + 1  # a candidate is at most so far outside of the reference
 NONE = 1 << 40  # no move
 WIDEST, SPARSE = 4096, 8  # fixed values: blocks of the widest line, and places for each block, up to which `search` is used
 NEAR, PART, LANES = 6, 1 << 21, 1 << 16  # fixed values: 2 ** NEAR frames are dealt out together; bytes of text in hand at once; blocks in one step
+ROUNDS = 12  # fixed value: rounds in which all waiting blocks of a frame are settled
 TOTALS = ("blocks", "checks", "outside", "unequal", *KINDS)
 
 
@@ -171,7 +172,7 @@ def search(now: np.ndarray, was: np.ndarray, p: np.ndarray, frame: np.ndarray, p
     own_frame = frame[open_]
     rounds = 0
     while len(i := np.flatnonzero(waiting)):
-        if rounds >= 12:
+        if rounds >= ROUNDS:
             starts = np.flatnonzero(np.diff(own_frame[i], prepend=-1))
             first = np.minimum.reduceat(wave[i], starts)
             i = i[wave[i] == np.repeat(first, np.diff(starts, append=len(i)))]
@@ -299,10 +300,11 @@ def _totals(batches: Iterator[pa.RecordBatch], width: int, part: int = PART) ->
 
     def settle(end: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, after, size
-        t = pa.Table.from_batches(held).combine_chunks()
+        t = pa.Table.from_batches(held)
         frame = t["frame"].to_numpy()
         done = frame if end else frame[frame < frame[-1]]
         if len(done) and (after is None or done[-1] > after):
+            t = t.combine_chunks()
             cols = _of_texts(frame, t["own"].to_numpy(), t["text"].combine_chunks(), width, after, done[-1])
             if len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["frame", *TOTALS])

@@ -4,6 +4,7 @@ import random
 import time
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lumenweave import catalog
@@ -125,7 +126,9 @@ def table(now, was):
     return pa.table(dict(zip(("gy", "gx", "d", "back"), (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)), strict=True)))
 
 
-def test_many_blocks_at_once_as_one_by_one():
+@pytest.mark.parametrize("rounds", [0, 2, motion.ROUNDS])
+def test_many_blocks_at_once_as_one_by_one(monkeypatch, rounds):
+    monkeypatch.setattr(motion, "ROUNDS", rounds)
     for now, was in grids(random.Random(3)):
         cols = [c.to_pylist() if isinstance(c, pa.Array) else list(c) for c in motion._one_frame(table(now, was))]
         assert list(zip(*cols, strict=True)) == motion.decide(now, was)
